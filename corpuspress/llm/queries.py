@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import packing, quality_classifier, quality_rules
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op7_quality_classifier": quality_classifier.op7_quality_classifier,
+    "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
 ORACLES = {
