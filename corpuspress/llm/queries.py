@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import packing, quality_classifier, quality_rules
+from . import packing, quality_classifier, quality_rules, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_warc_boundary_chain": warc.op2_warc_boundary_chain,
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
 ORACLES = {
     "op1_quality_rules": quality_rules.OP1_SQL,
+    "op2_warc_boundary_chain": warc.OP2_SQL,
 }
