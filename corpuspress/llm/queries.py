@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing, quality_classifier, quality_rules, warc
+from . import mixing, packing, quality_classifier, quality_rules, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_warc_boundary_chain": warc.op2_warc_boundary_chain,
+    "op3_mixing": mixing.op3_mixing,
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
@@ -14,4 +15,5 @@ QUERIES = {
 ORACLES = {
     "op1_quality_rules": quality_rules.OP1_SQL,
     "op2_warc_boundary_chain": warc.OP2_SQL,
+    "op3_mixing": mixing.OP3_SQL,
 }
