@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, language_id, mixing, packing, quality_classifier, quality_rules, warc
+from . import fingerprints, language_id, mixing, packing, quality_classifier, quality_rules, token_counts, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_language_id": language_id.op4_language_id,
     "op5_bottom_k_fingerprints": fingerprints.op5_bottom_k_fingerprints,
+    "op6_edit_aware_tokens": token_counts.op6_edit_aware_tokens,
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
