@@ -132,3 +132,29 @@ def per_row(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{table}.parquet"))
+
+
+def hash_filter(keys: DataFrame, column: str, most_bits: int = 1 << 26):
+    """A cheap pre-filter: a function of a bigint column that is true for every key of ``keys`` and few others.
+
+    A bitset of at most ``most_bits`` bits, so what reaches the driver and the
+    workers is bounded; with more keys it lets more rows through, never fewer.
+    """
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    n = keys.count()
+    bits = min(most_bits, 1 << max(10, (16 * max(n, 1)).bit_length()))
+    place = F.pmod(F.xxhash64(column), F.lit(bits))
+    words = keys.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).collect()
+    table = np.zeros(bits // 64, np.uint64)
+    if words:
+        table[[r["w"] for r in words]] = np.array([r["b"] for r in words], np.int64).view(np.uint64)
+    shared = keys.sparkSession.sparkContext.broadcast(table)
+
+    @F.arrow_udf(T.BooleanType())
+    def maybe(p: pa.Array) -> pa.Array:
+        at = p.to_numpy(zero_copy_only=False)
+        return pa.array((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
+
+    return lambda c: maybe(F.pmod(F.xxhash64(c), F.lit(bits)))
