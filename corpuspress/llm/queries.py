@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, language_id, mixing, near_dedup, packing, quality_classifier, quality_rules, token_counts, warc
+from . import fingerprints, language_id, mixing, near_dedup, packing, quality_classifier, quality_rules, substring_dedup, token_counts, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_bottom_k_fingerprints": fingerprints.op5_bottom_k_fingerprints,
     "op6_edit_aware_tokens": token_counts.op6_edit_aware_tokens,
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
+    "op8_suffix_array_dedup": substring_dedup.op8_suffix_array_dedup,
     "op9_minhash_near_dedup": near_dedup.op9_minhash_near_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }

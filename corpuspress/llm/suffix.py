@@ -12,18 +12,19 @@ from __future__ import annotations
 import numpy as np
 
 
-def sort_suffixes(symbols: np.ndarray, doc: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+def sort_suffixes(symbols: np.ndarray, doc: np.ndarray, depth: int | None = None, span: int = 1) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
     """Sort all suffixes of a concatenation of sequences; none crosses into the next.
 
     ``symbols``: non-negative ints; suffixes are ordered within a sequence's
     own symbols only if the caller makes symbols differ between sequences.
     ``doc``: non-decreasing number of each position's sequence.  ``depth``:
-    stop once that many symbols are compared.  Returns the suffix array and the
-    ranks after 1, 2, 4, ... symbols (equal rank: that many symbols agree, an
+    stop once that many symbols are compared.  ``span``: elements that one symbol
+    already stands for (each position's symbol packs the next ``span`` elements).
+    Returns the suffix array and the ranks after 1, 2, 4, ... times ``span`` elements (equal rank: that many symbols agree, an
     end of sequence counting as a symbol).
     """
     n = len(symbols)
-    sa = np.argsort(symbols, kind="stable")
+    sa = np.argsort(symbols)
     s = symbols[sa]
     new = np.ones(n, bool)
     new[1:] = s[1:] != s[:-1]
@@ -31,11 +32,11 @@ def sort_suffixes(symbols: np.ndarray, doc: np.ndarray, depth: int | None = None
     head = np.maximum.accumulate(np.where(new, place, 0))
     rank = np.empty(n, np.int64)
     rank[sa] = head
-    levels = [(1, rank.astype(np.int32))]
+    levels = [(span, rank.astype(np.int32))]
     tied = ~new
     tied[:-1] |= ~new[1:]
     slots = np.flatnonzero(tied)
-    h = 1
+    h = span
     while len(slots) and (depth is None or h < depth):
         at = sa[slots]
         ahead = at + h
