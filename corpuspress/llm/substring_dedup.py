@@ -182,7 +182,7 @@ def repeat_groups(data: np.ndarray, offsets: np.ndarray, left: np.ndarray, group
     _, word_rank = np.unique(word, return_inverse=True)
     symbols = (group[doc] * (4 * length) + column + 2 * length) * (int(word_rank.max()) + 1) + word_rank
     sa, levels = suffix.sort_suffixes(symbols, doc, depth=2 * length, span=8)
-    lcp = suffix.neighbour_lcp(sa, levels, end)
+    lcp = suffix.neighbour_lcp(sa, levels, end, data)
     before = np.full(n, -1, np.int64)
     before[1:] = data[:-1]
     first = offsets[:-1][size > 0]

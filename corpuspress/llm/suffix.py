@@ -58,11 +58,12 @@ def sort_suffixes(symbols: np.ndarray, doc: np.ndarray, depth: int | None = None
     return sa, levels
 
 
-def neighbour_lcp(sa: np.ndarray, levels: list[tuple[int, np.ndarray]], end: np.ndarray) -> np.ndarray:
+def neighbour_lcp(sa: np.ndarray, levels: list[tuple[int, np.ndarray]], end: np.ndarray, elements: np.ndarray | None = None) -> np.ndarray:
     """``lcp[i]``: common symbols of the suffixes at ``sa[i - 1]`` and ``sa[i]``; ``lcp[0]`` is 0.
 
     ``end[p]``: where position p's sequence ends.  Exact below the depth that
-    the suffixes were sorted to, at least that depth otherwise.
+    the suffixes were sorted to, at least that depth otherwise.  Symbols that pack
+    several elements leave a remainder, which is read off the ``elements``.
     """
     lcp = np.zeros(len(sa), np.int64)
     if len(sa) < 2:
@@ -76,6 +77,11 @@ def neighbour_lcp(sa: np.ndarray, levels: list[tuple[int, np.ndarray]], end: np.
         can = got + h <= room
         x, y = np.where(can, a + got, 0), np.where(can, b + got, 0)
         got += np.where(can & (rank[x] == rank[y]), h, 0)
+    left = np.arange(len(live))
+    for _ in range(levels[0][0] - 1 if elements is not None else 0):
+        left = left[got[left] < room[left]]
+        left = left[elements[a[left] + got[left]] == elements[b[left] + got[left]]]
+        got[left] += 1
     lcp[live] = got
     return lcp
 
