@@ -140,16 +140,15 @@ WEIGHTS = T.StructType([*(T.StructField(d, T.StringType()) for d in DIMS), T.Str
 def weighted(features: DataFrame, wanted: dict | None = None, sweeps: int = SWEEPS, fraction: float = FRACTION, most_cells: int = 100_000, salts: int = 32) -> DataFrame:
     """``featured`` rows with __weight, __probability and __sampled."""
     cells = common.written(cells_of(features), "cells")
-    keys = [F.col(f"__{d}") == F.col(d) for d in DIMS]
+    names = {**{d: f"__{d}" for d in DIMS}, "weight": "__weight", "probability": "__probability"}
     if cells.count() <= most_cells:
         found = features.sparkSession.createDataFrame(fit_local([tuple(r) for r in cells.collect()], wanted, sweeps, fraction), WEIGHTS)
-        joined = features.join(F.broadcast(found), keys[0] & keys[1] & keys[2])
+        joined = features.join(F.broadcast(found.withColumnsRenamed(names)), list(names.values())[:3])
     else:
-        found = fit_spark(cells, wanted, sweeps, fraction).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        found = fit_spark(cells, wanted, sweeps, fraction).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         features = features.withColumn("__salt", F.pmod(F.xxhash64("__u", "__tokens"), F.lit(salts)).cast("int"))
-        joined = features.join(found, [*keys, F.col("__salt") == F.col("salt")]).drop("__salt", "salt")
-    return joined.drop(*(found[d] for d in DIMS)).withColumnsRenamed({"weight": "__weight", "probability": "__probability"}).withColumn("__sampled", F.col("__u") < F.col("__probability"))
-
+        joined = features.join(found.withColumnsRenamed(names), [*list(names.values())[:3], "__salt"]).drop("__salt")
+    return joined.withColumn("__sampled", F.col("__u") < F.col("__probability"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

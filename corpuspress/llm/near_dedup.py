@@ -45,8 +45,9 @@ ESTIMATE_FROM = 400
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n, k1, k2, regs and salt for each row."""
-    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    """doc_id, n, k1, k2, regs, key (of id and text) and salt for each row."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text", 2 << 20):
@@ -54,9 +55,9 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             k1, k2 = hmh.set_keys(first, h)
             regs = hmh.registers(first, h).astype("<u2")
             raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * hmh.REGISTERS), len(regs), [None, pa.py_buffer(regs.tobytes())])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first), pa.int64()), pa.array(k1), pa.array(k2), raw.cast(pa.binary())], ["doc_id", "n", "k1", "k2", "regs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first), pa.int64()), pa.array(k1), pa.array(k2), raw.cast(pa.binary()), batch.column(2)], ["doc_id", "n", "k1", "k2", "regs", "key"])
 
-    rows = source.mapInArrow(run, "doc_id bigint, n bigint, k1 bigint, k2 bigint, regs binary")
+    rows = source.mapInArrow(run, "doc_id bigint, n bigint, k1 bigint, k2 bigint, regs binary, key bigint")
     return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
 
 
@@ -171,7 +172,7 @@ def cross_pairs(members: DataFrame, label: DataFrame, tested: DataFrame, percent
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row."""
+    """doc_id, n_shingles, component_id, kept and key (a hash of id and text) for each row."""
     rows = common.written(signed(docs, id_col, text_col), "signed")
     nodes = common.written(nodes_of(rows), "nodes")
     members = bucket_rows(nodes)
@@ -183,13 +184,28 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
         label = components(links.union(more))
     found = nodes.where("rep IS NOT NULL").join(label.withColumnRenamed("v", "rep"), "rep", "left").where("rows > 1 OR label IS NOT NULL")
     found = common.written(found.select("k1", "k2", F.col("n").alias("m"), F.explode("salts").alias("salt"), F.coalesce("label", "rep").alias("found")), "found")
-    joined = rows.select("doc_id", "n", "k1", "k2", "salt").join(found.withColumnRenamed("m", "n"), ["k1", "k2", "n", "salt"], "left")
+    joined = rows.select("doc_id", "n", "k1", "k2", "salt", "key").join(found.withColumnRenamed("m", "n"), ["k1", "k2", "n", "salt"], "left")
     component = F.coalesce("found", "doc_id")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "key")
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that are kept, all columns; a row that is there several times stays once."""
+    verdict = common.written(near_duplicates(docs, percent, id_col, text_col).select("key", "kept"), "verdict")
+    # A key decides a verdict: it is made of id and text.
+    drop = common.written(verdict.where(~F.col("kept")).select("key").distinct(), "dropped")
+    twice = common.written(verdict.where("kept").groupBy("key").count().where("count > 1").select("key"), "twice")
+    gone, again = common.hash_filter(drop, "key"), common.hash_filter(twice, "key")
+    rows = docs.withColumn("__key", F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    # Only rows that may go are shuffled.
+    suspect = gone(F.col("__key")) | again(F.col("__key"))
+    some = rows.where(suspect).join(drop.withColumnRenamed("key", "__key"), "__key", "anti").dropDuplicates(["__key"])
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return some.select(*names).union(rows.where(~suspect).select(*names))
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(common.read(spark, sf_dir, "documents"))
+    return near_duplicates(common.read(spark, sf_dir, "documents")).drop("key")
 
 
 OP9_SQL = r"""

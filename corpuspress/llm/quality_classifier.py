@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common, quality_rules
 
@@ -171,15 +172,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(x, rows["label"].clip(0, 1).to_numpy(float), **how)
 
 
-def score(docs: DataFrame, model: Trees, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` and each text's ``score``."""
-    source = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]) + ", score double"
+def score(docs: DataFrame, model: Trees, keep: list[str], text_col: str = "text", out: str = "score") -> DataFrame:
+    """The columns ``keep`` and each text's score, as column ``out``."""
+    source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).cast("string").alias("__text"))
+    schema = T.StructType([*source.schema.fields[:-1], T.StructField(out, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "__text"):
             found = model.score(statistics(batch.column(batch.num_columns - 1)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found)], [*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found)], [*batch.schema.names[:-1], out])
 
     return source.mapInArrow(run, schema)
 

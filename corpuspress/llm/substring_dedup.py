@@ -365,5 +365,38 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     return rows.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
+def cut_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """``docs`` with repeats cut out of the texts (and ``chars_col`` set anew where there is one).
+
+    Bytes left of a cut character are dropped; a text that loses all its words
+    goes, one that had none stays.
+    """
+    rows = with_spans(docs, repeated_spans(docs, length, id_col, text_col), id_col, text_col)
+    at, size = docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col in docs.columns else -1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, "__text"):
+            hit = [i for i, s in enumerate(batch.column(batch.num_columns - 1).to_pylist()) if s]
+            columns = batch.columns[:-2]
+            if hit:
+                texts, keep = columns[at].to_pylist(), np.ones(batch.num_rows, bool)
+                sizes = columns[size].to_pylist() if size >= 0 else None
+                spans = batch.column(batch.num_columns - 1)
+                for i in hit:
+                    texts[i] = kept_bytes(texts[i].encode(), merged(spans[i].as_py())).decode("utf-8", "ignore")
+                    keep[i] = bool(texts[i].encode().split())
+                    if sizes is not None:
+                        sizes[i] = len(texts[i])
+                columns[at] = pa.array(texts, columns[at].type)
+                if sizes is not None:
+                    columns[size] = pa.array(sizes, columns[size].type)
+                batch = pa.RecordBatch.from_arrays(columns, batch.schema.names[:-2]).filter(pa.array(keep))
+            else:
+                batch = pa.RecordBatch.from_arrays(columns, batch.schema.names[:-2])
+            yield batch
+
+    return rows.mapInArrow(run, docs.schema)
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(common.read(spark, sf_dir, "documents"))
