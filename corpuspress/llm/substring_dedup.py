@@ -10,11 +10,12 @@ by anchor, and only texts around anchors that occur twice need to be sorted.
    contain the anchor.  A context found twice is repeated as a whole: its
    occurrences are covered, and it need not be sorted more than once.
 3. What is left are contexts that are unique although their anchor isn't: the
-   ends of repeats.  Each anchor's distinct contexts are sorted as suffixes
-   (prefix doubling from eight-byte symbols), neighbours' common prefixes give
-   the LCP array, and a stack scan over it builds the tree of common-prefix
-   intervals; intervals with left-extension diversity are the maximal repeats,
-   emitted with all their occurrences.
+   ends of repeats.  Each anchor's distinct contexts are sorted as suffixes that
+   start at the anchor, with the LCP array of their neighbours and the same for
+   the text to the left; common-prefix intervals of either side, crossed level by
+   level, say which strings are repeated (``anchored_repeats``).
+   ``repeat_groups`` gives the maximal repeats themselves with all occurrences,
+   by a stack scan over a full suffix array with the test for left diversity.
 4. An anchor with over ``most_contexts`` distinct contexts is never gathered in
    one task: its contexts are cut into ranges of string starts, equal ranges and
    then equal strings are counted by aggregation, which gives the same spans.
@@ -201,22 +202,73 @@ def repeat_groups(data: np.ndarray, offsets: np.ndarray, left: np.ndarray, group
     return (sa, *suffix.maximal_repeats(sa, scan, before, length))
 
 
-def sorted_spans(contexts: DataFrame, length: int, a_time: int = 2500) -> DataFrame:
-    """Spans of maximal repeats; contexts of an anchor meet in one task, some anchors at a time."""
+def sparse_order(cells: np.ndarray, size: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of padded strings by group, bytes and size, and the common prefix of neighbours (-1: another group)."""
+    m, width = cells.shape
+    head = group.astype(">u4").view(np.uint8).reshape(m, 4)
+    rows = np.ascontiguousarray(np.concatenate([head, cells], 1))
+    by_size = np.argsort(size, kind="stable")
+    order = by_size[np.argsort(rows[by_size].view(f"S{width + 4}").ravel(), kind="stable")]
+    sorted_rows = rows[order]
+    differ = sorted_rows[1:] != sorted_rows[:-1]
+    first = np.where(differ.any(1), differ.argmax(1), width + 4) - 4
+    lcp = np.full(m, -1, np.int64)
+    lcp[1:] = np.where(first < 0, -1, np.minimum(first, np.minimum(size[order[1:]], size[order[:-1]])))
+    return order, lcp
+
+
+def anchored_repeats(data: np.ndarray, offsets: np.ndarray, left: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest and farthest start (bytes before the anchor) of a repeated string of each context; -1 where there is none.
+
+    The suffixes at the anchors are sorted, and so are the texts before the
+    anchors, read backwards.  At depth d the stretches of the LCP array that
+    reach d are the common-prefix intervals; two contexts share a string that
+    starts o bytes before the anchor just if they share an interval of depth
+    length - o and, to the left, one of depth o.  The intervals of all depths are
+    read level by level, for all anchors of the batch at once.
+    """
+    m, reach = len(left), length - anch.GRAM
+    size = np.diff(offsets)
+    row = np.repeat(np.arange(m), size)
+    place = np.arange(len(data)) - (offsets[:-1] + left)[row]
+    ahead, behind = np.zeros((m, length), np.uint8), np.zeros((m, max(1, reach)), np.uint8)
+    right = place >= 0
+    ahead[row[right], place[right]] = data[right]
+    behind[row[~right], -1 - place[~right]] = data[~right]
+    order_r, lcp_r = sparse_order(ahead, size - left, group)
+    order_l, lcp_l = sparse_order(behind, left, group)
+    near, far = np.full(m, -1, np.int64), np.full(m, -1, np.int64)
+    run_r, run_l = np.empty(m, np.int64), np.empty(m, np.int64)
+    for o in range(reach + 1):
+        run_r[order_r] = np.cumsum(lcp_r < length - o)
+        run_l[order_l] = np.cumsum(lcp_l < o)
+        live = np.flatnonzero((np.bincount(run_r)[run_r] > 1) & (np.bincount(run_l)[run_l] > 1))
+        if not len(live):
+            continue
+        key = run_r[live] * (m + 1) + run_l[live]
+        by = np.argsort(key)
+        same = key[by][1:] == key[by][:-1]
+        hit = live[by[np.append(same, False) | np.append(False, same)]]
+        far[hit] = o
+        near[hit[near[hit] < 0]] = o
+    return near, far
+
+
+def sorted_spans(contexts: DataFrame, length: int, a_time: int = 20_000) -> DataFrame:
+    """A span for each context with repeated strings; contexts of an anchor meet in one task, some anchors at a time.
+
+    All strings of a context hold its anchor, so they overlap and their union is one span.
+    """
     stream = contexts.repartition("gram").sortWithinPartitions("gram")
 
     def solve(batch: pa.Table) -> pa.RecordBatch:
         data, offsets = common.text_buffer(batch.column("bytes"))
         _, group = np.unique(batch.column("gram").to_numpy(), return_inverse=True)
-        left = batch.column("left").to_numpy().astype(np.int64)
-        sa, lb, rb, deep = repeat_groups(data, offsets, left, group, length)
-        size = rb - lb + 1
-        at = sa[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lb, size)] if len(size) else sa[:0]
-        deep = np.repeat(deep, size)
-        row = np.searchsorted(offsets, at, "right") - 1
-        lo = batch.column("pos").to_numpy().astype(np.int64)[row] + at - offsets[row] - left[row]
-        rows = pa.array(row)
-        return pa.RecordBatch.from_arrays([batch.column("key").combine_chunks().take(rows), batch.column("doc_id").combine_chunks().take(rows), pa.array(lo.astype(np.int32)), pa.array((lo + deep).astype(np.int32))], ["key", "doc_id", "lo", "hi"])
+        near, far = anchored_repeats(data, offsets, batch.column("left").to_numpy().astype(np.int64), group, length)
+        hit = np.flatnonzero(far >= 0)
+        pos = batch.column("pos").to_numpy().astype(np.int64)[hit]
+        rows = pa.array(hit)
+        return pa.RecordBatch.from_arrays([batch.column("key").combine_chunks().take(rows), batch.column("doc_id").combine_chunks().take(rows), pa.array((pos - far[hit]).astype(np.int32)), pa.array((pos - near[hit] + length).astype(np.int32))], ["key", "doc_id", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -290,7 +342,7 @@ def hot_spans(contexts: DataFrame, length: int) -> DataFrame:
     return whole.select("key", "doc_id", "lo", "hi").union(twice.select("key", "doc_id", "lo", "hi"))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", most_contexts: int = 6000) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", most_contexts: int = 40_000) -> DataFrame:
     """key, doc_id and the list of spans (byte offsets lo, hi) of repeated strings; documents without any are left out."""
     rows = keyed(docs, id_col, text_col)
     places = salted(occurrences(rows, bit_lookup(repeated_anchors(rows, length), "gram"), length))
@@ -347,7 +399,7 @@ def kept_bytes(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, data[at:]])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", most_contexts: int = 6000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", most_contexts: int = 40_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = with_spans(source, repeated_spans(source, length, "doc_id", "text", most_contexts), "doc_id", "text").select("doc_id", "__text", "__spans")
