@@ -534,8 +534,14 @@ def longest_first(data: bytes, least: int = 2) -> tuple[list[tuple[int, int]], l
                 taken[p : p + d] = b"\1" * d
                 found.append((p, len(rules)))
             rules.append((free[0], d))
-        elif d - 1 > floor:
-            heapq.heappush(heap, (-(d - 1), first, a, b, floor))
+        else:  # the longest prefix of which two occurrences are still free
+            room = []
+            for p in sa[a : b + 1].tolist():
+                end = taken.find(1, p, p + d)
+                room.append(d if end < 0 else end - p)
+            shorter = min(d - 1, sorted(room)[-2])
+            if shorter > floor:
+                heapq.heappush(heap, (-shorter, first, a, b, floor))
     return rules, sorted(found)
 
 
