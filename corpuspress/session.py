@@ -19,4 +19,12 @@ def attach(spark: SparkSession) -> SparkSession:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    # Rows here are whole texts: batches of Spark's default size would hold tens of megabytes in both the JVM and Python.
+    for name, value in ARROW.items():
+        if spark.conf.get(name, None) in DEFAULTS.get(name, (None,)):
+            spark.conf.set(name, value)
     return spark
+
+
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
+DEFAULTS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", None), "spark.sql.execution.arrow.maxBytesPerBatch": ("9223372036854775807", "268435456", "67108864", "-1", "2147483647", None)}
