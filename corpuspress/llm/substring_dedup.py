@@ -47,7 +47,7 @@ from . import common, suffix
 from .fingerprints import mixed
 
 LENGTH, SALTS, RANGES = 200, 16, 8
-SLICE = 2 << 20
+SLICE = 512 << 10
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -254,7 +254,7 @@ def anchored_repeats(data: np.ndarray, offsets: np.ndarray, left: np.ndarray, gr
     return near, far
 
 
-def sorted_spans(contexts: DataFrame, length: int, a_time: int = 20_000) -> DataFrame:
+def sorted_spans(contexts: DataFrame, length: int, a_time: int = 10_000) -> DataFrame:
     """A span for each context with repeated strings; contexts of an anchor meet in one task, some anchors at a time.
 
     All strings of a context hold its anchor, so they overlap and their union is one span.
@@ -298,7 +298,7 @@ def hot_spans(contexts: DataFrame, length: int) -> DataFrame:
 
     def parts(single: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in common.slices(batches, "bytes", 1 << 20):
+            for batch in common.slices(batches, "bytes", SLICE):
                 data, offsets = common.text_buffer(batch.column(batch.schema.get_field_index("bytes")))
                 rolling, other = anch.Rolling(data), anch.Rolling(data, 1)
                 left = batch.column(batch.schema.get_field_index("left")).to_numpy().astype(np.int64)
