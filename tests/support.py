@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 
 SF = "/root/testdata/sf0.001"
 
@@ -11,7 +12,7 @@ def rows_of(frame):
     columns = sorted(frame.columns)
 
     def text(v):
-        if v is None or v != v:
+        if pd.api.types.is_scalar(v) and pd.isna(v):
             return "-"
         return f"{v:.9g}" if isinstance(v, float) else str(v)
 
