@@ -221,7 +221,7 @@ def read_warc(spark: SparkSession, files: DataFrame, cut_bytes: int = 16 << 20)
                     rows = list(candidates(file, start, end, path.endswith(".gz")))
                 beyond: dict[int, int] = {}
                 for off, after, _ in reversed(rows):
-                    beyond[off] = after if after >= end else beyond.get(after, -1)
+                    beyond[off] = (after if after < size else -1) if after >= end else beyond.get(after, -1)
                 table = [(path, start, off, after, beyond[off], *f) for off, after, f in rows]
                 if table:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*table), ARROW)], NAMES)
