@@ -136,8 +136,10 @@ def likeness(fa: np.ndarray, a: np.ndarray, fb: np.ndarray, b: np.ndarray, k: in
         key, times = np.unique(np.concatenate(parts), return_counts=True)
         own = (key >> np.uint64(48)).astype(np.int64)
         begin = np.searchsorted(own, np.arange(end - at + 1))
-        low = np.arange(len(key)) - begin[own] < k
-        union = np.minimum(np.diff(begin), k)
+        # Two sketches below k hold their whole sets, so all of the union counts.
+        most = np.where((np.diff(fa[at : end + 1]) < k) & (np.diff(fb[at : end + 1]) < k), 2 * k, k)
+        low = np.arange(len(key)) - begin[own] < most[own]
+        union = np.minimum(np.diff(begin), most)
         both = np.bincount(own[low], times[low] == 2, end - at)
         out[at:end] = np.where(union > 0, both / np.maximum(union, 1), 1.0)
     return out
