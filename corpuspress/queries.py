@@ -13,8 +13,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import bits
-from .operators import compare, grammar, index, lz, profile, transforms
+from .functions import bits, hashes
+from .operators import compare, grammar, index, lz, profile, relations, transforms
 from .plans import registry
 from .sources import corpus, generators
 from .streaming import windows
@@ -64,7 +64,6 @@ def alphabet_size(spark, sf_dir):
 
 
 def _entropy_sql(k: int) -> str:
-    gram = " * 256 + ".join(f"lead(c, {j}) OVER w" if j else "c" for j in range(k + 1))
     gram = "c"
     for j in range(1, k + 1):
         gram = f"({gram}) * 256 + lead(c, {j}) OVER (PARTITION BY doc_id ORDER BY i)"
@@ -137,8 +136,6 @@ def huffman_document_bits(spark, sf_dir):
 # Integer codes.
 
 _W = "length(bin({0}))"
-_VALUES = "CAST(l_partkey AS BIGINT)"
-_GAMMA = "(2 * length(bin({0})) + 1)"
 _TERNARY = "CASE WHEN {0} = 0 THEN 2 ELSE 2 * (1 + (SELECT count(*) FROM (VALUES (3), (9), (27), (81), (243), (729), (2187), (6561), (19683), (59049), (177147), (531441), (1594323), (4782969), (14348907), (43046721), (129140163), (387420489), (1162261467)) p(v) WHERE v <= {0} - 1)) + 2 END"
 
 
@@ -346,6 +343,71 @@ def grammar_sizes(spark, sf_dir):
     return profile.per_text(table(spark, sf_dir, "documents"), "doc_id", "text", out, measure)
 
 
+@query()
+def factor_rows(spark, sf_dir):
+    return relations.factors(table(spark, sf_dir, "documents"), "lcpcomp")
+
+
+@query("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_covered FROM documents WHERE strlen(text) > 0")
+def literals_and_factors(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("length(text) > 0")
+    sizes = docs.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"))
+    found = relations.factors(docs, "lzss")
+    gaps = relations.uncovered(found, sizes).select("doc_id", (F.col("end") - F.col("begin")).alias("n"))
+    return gaps.union(found.select("doc_id", "len")).groupBy("doc_id").agg(F.sum("n").alias("n_covered"))
+
+
+@query()
+def lz78_factor_rows(spark, sf_dir):
+    return relations.lz78_rows(table(spark, sf_dir, "documents"))
+
+
+@query()
+def lzw_code_rows(spark, sf_dir):
+    return relations.lzw_rows(table(spark, sf_dir, "documents"))
+
+
+@query()
+def lz78u_factor_rows(spark, sf_dir):
+    return relations.lz78u_rows(table(spark, sf_dir, "documents"))
+
+
+@query()
+def slp_rules(spark, sf_dir):
+    return relations.slp_rules(table(spark, sf_dir, "documents"))
+
+
+@query()
+def repair_rules(spark, sf_dir):
+    return relations.repair_rules(table(spark, sf_dir, "documents"))
+
+
+@query()
+def suffix_tree_nodes(spark, sf_dir):
+    return relations.prefix_intervals(table(spark, sf_dir, "documents"), 5)
+
+
+@query(f"{SUFFIXES}, v AS (SELECT id, sa, CASE WHEN y IS NULL THEN 0 ELSE {_LCE} END AS plcp FROM (SELECT *, lag(x) OVER (PARTITION BY id ORDER BY i) AS y FROM s)), g AS (SELECT id, plcp - coalesce(lag(plcp) OVER (PARTITION BY id ORDER BY sa), -1) AS step FROM v) SELECT id, CAST(sum(step + 1) + count(*) AS BIGINT) AS n_bits FROM g GROUP BY id")
+def compressed_lcp_bits(spark, sf_dir):
+    # The permuted array falls by one at most from place to place, so its steps in unary take few bits.
+    from pyspark.sql import Window
+
+    found = index.text_index(talks(spark, sf_dir), ("plcp",), "id", "text")
+    step = F.col("plcp") - F.coalesce(F.lag("plcp").over(Window.partitionBy("id").orderBy("i")), F.lit(-1))
+    return found.select("id", step.alias("step")).groupBy("id").agg((F.sum(F.col("step") + 1) + F.count("*")).alias("n_bits"))
+
+
+@query()
+def hash_functions(spark, sf_dir):
+    v = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", hashes.knuth(v).alias("knuth"), hashes.vigna(v).alias("vigna"), hashes.mixer(v).alias("mixer"))
+
+
+@query()
+def rolling_hashes(spark, sf_dir):
+    return relations.rows_of_texts(table(spark, sf_dir, "benchmark"), "item_id", "text", ("i", "hash"), lambda b: enumerate(hashes.rabin_karp(b, 8).tolist()))
+
+
 # Comparison, generators, corpora, streams.
 
 
