@@ -50,7 +50,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "text", 1 << 20):
+        for batch in common.slices(batches, "text", 512 << 10):
             first, h = hmh.shingle_sets(batch.column(1))
             k1, k2 = hmh.set_keys(first, h)
             regs = hmh.registers(first, h).astype("<u2")
@@ -120,7 +120,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, per
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, centre = None, None
-        for batch in common.slices(batches, "text", 1 << 20):
+        for batch in common.slices(batches, "text", 512 << 10):
             first, h = hmh.shingle_sets(batch.column(5))
             k1, _ = hmh.set_keys(first, h)
             b, part, kind, a, key = (batch.column(i).to_pylist() for i in range(5))

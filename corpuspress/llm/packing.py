@@ -106,19 +106,23 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer_path)
-        for batch in common.slices(batches, "text", 2 << 20):
-            row, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(words.encode(batch.column(1))):
-                ids += mark
-                n = len(ids) // 4
-                for k, at in enumerate(range(0, n, capacity)):
-                    size = min(capacity, n - at)
-                    row.append(i), piece.append(k), start.append(at), length.append(size)
-                    crc.append(zlib.crc32(ids if size == n else ids[4 * at : 4 * (at + size)]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
-                ["doc_id", "piece", "start", "length", "ids_crc32"],
-            )
+        try:
+            for batch in common.slices(batches, "text", 1 << 20):
+                row, piece, start, length, crc = [], [], [], [], []
+                for i, ids in enumerate(words.encode(batch.column(1))):
+                    ids += mark
+                    n = len(ids) // 4
+                    for k, at in enumerate(range(0, n, capacity)):
+                        size = min(capacity, n - at)
+                        row.append(i), piece.append(k), start.append(at), length.append(size)
+                        crc.append(zlib.crc32(ids if size == n else ids[4 * at : 4 * (at + size)]))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
+                    ["doc_id", "piece", "start", "length", "ids_crc32"],
+                )
+        finally:  # the words of one task hardly help the next, and an idle worker shouldn't hold them
+            words.clear()
+            common.give_back()
 
     return source.mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 

@@ -47,7 +47,7 @@ from . import common, suffix
 from .fingerprints import mixed
 
 LENGTH, SALTS, RANGES = 200, 16, 8
-SLICE = 512 << 10
+SLICE = 256 << 10
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -254,7 +254,7 @@ def anchored_repeats(data: np.ndarray, offsets: np.ndarray, left: np.ndarray, gr
     return near, far
 
 
-def sorted_spans(contexts: DataFrame, length: int, a_time: int = 10_000) -> DataFrame:
+def sorted_spans(contexts: DataFrame, length: int, a_time: int = 5_000) -> DataFrame:
     """A span for each context with repeated strings; contexts of an anchor meet in one task, some anchors at a time.
 
     All strings of a context hold its anchor, so they overlap and their union is one span.

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import common
 
 BLOCK = 64
-MOST_PIECES = 1_000_000
+MOST_PIECES = 400_000
 _CUT, _MANY = re.compile(r"(?<=\S)(?= )"), re.compile(r"\s ")
 EDITS = "array<struct<at:bigint,cut:bigint,put:string>>"
 
