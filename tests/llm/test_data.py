@@ -202,19 +202,20 @@ def test_words_take_either_way():
 def test_pipeline(spark):
     import corpus_pipeline
 
+    SF01 = "/root/testdata/sf0.01"  # enough labels to learn from
     assert len(corpus_pipeline.STAGES) == 5
-    docs = common.read(spark, SF, "documents")
+    docs = common.read(spark, SF01, "documents")
     columns, counts = docs.columns, [docs.count()]
     ids = {r["doc_id"] for r in docs.collect()}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = common.written(stage(spark, docs, SF), "stage")
+        docs = common.written(stage(spark, docs, SF01), "stage")
         assert docs.columns == columns, name
         kept = {r["doc_id"] for r in docs.collect()}
         assert kept <= ids and docs.count() == len(kept)
         ids = kept
         counts.append(len(kept))
     assert counts[0] > counts[1] > counts[2] >= counts[3] > counts[4] > 0.5 * counts[0]
-    assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()} == ids
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF01).collect()} == ids
 
 
 def test_stages_on_messy_rows(spark):
