@@ -513,11 +513,10 @@ def longest_first(data: bytes, least: int = 2) -> tuple[list[tuple[int, int]], l
     """
     x = of(data)
     left, right, deep = lcp_intervals(x.lcp, least)
-    sa, lcp = x.sa, np.append(x.lcp, 0)
+    sa, lcp = x.sa.tolist(), [*x.lcp.tolist(), 0]
     heap = []
     for a, b, d in zip(left.tolist(), right.tolist(), deep.tolist()):
-        floor = max(least - 1, int(lcp[a]), int(lcp[b + 1]))
-        heap.append((-d, int(sa[a : b + 1].min()) if b - a < 64 else int(sa[a]), a, b, floor))
+        heap.append((-d, min(sa[a : b + 1]) if b - a < 64 else sa[a], a, b, max(least - 1, lcp[a], lcp[b + 1])))
     heapq.heapify(heap)
     taken = bytearray(len(data))
     rules, found = [], []
@@ -525,7 +524,7 @@ def longest_first(data: bytes, least: int = 2) -> tuple[list[tuple[int, int]], l
         d, first, a, b, floor = heapq.heappop(heap)
         d = -d
         free, last = [], -1
-        for p in np.sort(sa[a : b + 1]).tolist():
+        for p in sorted(sa[a : b + 1]):
             if p >= last and not taken[p] and not taken[p + d - 1]:
                 free.append(p)
                 last = p + d
@@ -536,7 +535,7 @@ def longest_first(data: bytes, least: int = 2) -> tuple[list[tuple[int, int]], l
             rules.append((free[0], d))
         else:  # the longest prefix of which two occurrences are still free
             room = []
-            for p in sa[a : b + 1].tolist():
+            for p in sa[a : b + 1]:
                 end = taken.find(1, p, p + d)
                 room.append(d if end < 0 else end - p)
             shorter = min(d - 1, sorted(room)[-2])
