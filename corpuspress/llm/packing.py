@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: A worker forgets its words beyond this number (bounded memory on endless input).
-MOST_WORDS = 400_000
+MOST_WORDS = 600_000
 #: The pre-tokenizer that the short way knows; with any other every word takes the long way.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -69,7 +69,20 @@ class WordIds(dict):
         self.plain = regex.compile(r"[\x21-\x7E\u00A1-\u012F\u0131-\u024F]+")
         self.split, self.letters = regex.compile(PATTERN), byte_letters()
 
+    def add(self, word: bytes) -> bytes:
+        """Ids of a new word; a closing sign after a letter is a token apart, so the word before it is looked up."""
+        text = word.decode()
+        if self.short and len(text) > 1 and text[-1] in ".,;:!?" and text[-2].isalpha():
+            stem = word[:-1]
+            found = (self.get(stem) or self.add(stem)) + (self.get(word[-1:]) or self.add(word[-1:]))
+        else:
+            found = np.array(self.ids_of(text), "<u4").tobytes()
+        self[word] = found
+        return found
+
     def ids_of(self, word: str) -> list[int]:
+        if self.short and word.isascii() and word.isalpha():
+            return [t.id for t in self.tokenizer.model.tokenize(word.lower())]
         if self.short and "<|" not in word and self.plain.fullmatch(word):
             merge, letters = self.tokenizer.model.tokenize, self.letters
             return [t.id for p in self.split.findall(word.lower()) for t in merge(p.encode().decode("latin-1").translate(letters))]
@@ -81,7 +94,8 @@ class WordIds(dict):
             self.clear()
             new = list({w for words in texts for w in words})
         for word in new:
-            self[word] = np.array(self.ids_of(word.decode()), "<u4").tobytes()
+            if word not in self:
+                self.add(word)
 
     def encode(self, column: pa.Array) -> list[bytes]:
         texts = [t.split() for t in column.cast(pa.binary()).to_pylist()]
