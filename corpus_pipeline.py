@@ -40,7 +40,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are sampled so that sources, languages and topics reach their target shares of tokens."""
+    """Documents are sampled towards target shares of sources, languages and topics, as far as MIX_FRACTION lets them (README has both)."""
     attach(spark)
     names = docs.columns
     kept = mixing.weighted(mixing.featured(docs), fraction=MIX_FRACTION).where("__sampled")

@@ -6,6 +6,9 @@ has its target share; the sampling rate is then set so that the expected tokens
 are the wanted fraction of all, no probability being above 1 (cells that reach
 1 are kept whole and the rest share what is left).  A document is sampled if a
 number in [0, 1) that depends on its id alone is below its cell's probability.
+Above a fraction of 1 / (largest weight) sampling therefore stays short of the
+target shares; ``repeated`` reaches them at any fraction, with documents of
+cells that are short taken more than once.
 
 Up to ``most_cells`` cells the fit is numpy on the driver and the weights are
 broadcast (that number bounds both); beyond it the same sweeps run as
@@ -138,7 +141,7 @@ WEIGHTS = T.StructType([*(T.StructField(d, T.StringType()) for d in DIMS), T.Str
 
 
 def weighted(features: DataFrame, wanted: dict | None = None, sweeps: int = SWEEPS, fraction: float = FRACTION, most_cells: int = 100_000, salts: int = 32) -> DataFrame:
-    """``featured`` rows with __weight, __probability and __sampled."""
+    """``featured`` rows with __weight, __probability and __sampled, and __copies, which are fraction * weight on average."""
     cells = common.written(cells_of(features), "cells")
     names = {**{d: f"__{d}" for d in DIMS}, "weight": "__weight", "probability": "__probability"}
     if cells.count() <= most_cells:
@@ -148,7 +151,15 @@ def weighted(features: DataFrame, wanted: dict | None = None, sweeps: int = SWEE
         found = fit_spark(cells, wanted, sweeps, fraction).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         features = features.withColumn("__salt", F.pmod(F.xxhash64("__u", "__tokens"), F.lit(salts)).cast("int"))
         joined = features.join(found.withColumnsRenamed(names), [*list(names.values())[:3], "__salt"]).drop("__salt")
-    return joined.withColumn("__sampled", F.col("__u") < F.col("__probability"))
+    copies = F.ceil(F.lit(float(fraction)) * F.col("__weight") - F.col("__u")).cast("bigint")
+    return joined.withColumns({"__sampled": F.col("__u") < F.col("__probability"), "__copies": copies})
+
+
+def repeated(features: DataFrame, wanted: dict | None = None, sweeps: int = SWEEPS, fraction: float = FRACTION, **bounds: int) -> DataFrame:
+    """``weighted`` rows, each __copies times: no probability ends at 1, so expected shares are the raked ones."""
+    names = [F.col(f"`{c}`") for c in features.columns]
+    got = weighted(features, wanted, sweeps, fraction, **bounds).where("__copies > 0")
+    return got.select(*names, "__weight", "__copies", F.explode(F.sequence(F.lit(1).cast("bigint"), "__copies")).alias("__copy"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

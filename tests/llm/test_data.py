@@ -91,6 +91,32 @@ def test_mixing_sql(spark):
     compare_with_sql(spark, mixing.op3_mixing, mixing.OP3_SQL)
 
 
+def test_marginals_of_the_query_and_of_repeated_rows(spark):
+    sf01 = "/root/testdata/sf0.01"
+    rows = mixing.op3_mixing(spark, sf01).collect()
+    sums = {d: Counter() for d in mixing.DIMS}
+    raked = {d: Counter() for d in mixing.DIMS}
+    for r in rows:
+        for d in mixing.DIMS:
+            sums[d][r[d]] += r["n_tokens"]
+            raked[d][r[d]] += r["n_tokens"] * r["weight"]
+    aims, total = mixing.targets(sums), sum(r["n_tokens"] for r in rows)
+    docs = mixing.featured(common.read(spark, sf01, "documents")).select("doc_id", *(f"__{d}" for d in mixing.DIMS), "__tokens", "__u")
+    for fraction in (0.8, 0.9):
+        got = mixing.repeated(docs, fraction=fraction).collect()
+        kept = sum(r["__tokens"] for r in got)
+        assert abs(kept / total - fraction) < 0.03
+        for d in mixing.DIMS:
+            drawn = Counter()
+            for r in got:
+                drawn[r[f"__{d}"]] += r["__tokens"]
+            for v, aim in aims[d].items():
+                assert abs(raked[d][v] / total - aim) < 1e-4
+                assert abs(drawn[v] / kept - aim) < 0.025, (fraction, d, v)
+        each = Counter(r["doc_id"] for r in got)
+        assert max(each.values()) > 1 and all(r["__copies"] == each[r["doc_id"]] and abs(r["__copies"] - fraction * r["__weight"]) < 1 for r in got)
+
+
 def test_token_trees():
     c = token_counts.counter(token_counts.default_tokenizer())
     rng = random.Random(3)
