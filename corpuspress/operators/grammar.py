@@ -33,12 +33,21 @@ def repair_grammar(data: bytes, max_rules: int = 0) -> tuple[list[int], list[Rul
             if not (pair[0] == pair[1] and prev[i] >= 0 and prev[i] in where.get(pair, ())):
                 where[pair][i] = None
 
-    def drop(i: int) -> None:
+    def drop(i: int) -> bool:
+        """True if the pair at i was an occurrence that counted."""
         j = nxt[i]
-        if j < n:
-            found = where.get((s[i], s[j]))
-            if found is not None:
-                found.pop(i, None)
+        found = where.get((s[i], s[j])) if j < n else None
+        return found is not None and found.pop(i, 0) is None
+
+    def shift(i: int) -> None:
+        """The run of equal symbols from i lost its counted head: in the rest, the other occurrences count."""
+        found, j = where[s[i], s[i]], nxt[i]
+        while j < n and s[j] == s[i]:
+            if i in found:
+                del found[i]
+            else:
+                found[i] = None
+            i, j = j, nxt[j]
 
     for i in range(n - 1):
         add(i)
@@ -64,8 +73,10 @@ def repair_grammar(data: bytes, max_rules: int = 0) -> tuple[list[int], list[Rul
             if prev[i] >= 0:
                 drop(prev[i])
             drop(i)
-            drop(j)
-            s[i], nxt[i] = symbol, nxt[j]
+            k = nxt[j]
+            if drop(j) and s[k] == s[j]:
+                shift(k)
+            s[i], nxt[i] = symbol, k
             if nxt[j] < n:
                 prev[nxt[j]] = i
             s[j] = -1

@@ -67,7 +67,7 @@ def slp_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows_of_texts(df, id_col, text_col, ("sym", "l", "r"), lambda b: ((256 + i, *r) for i, r in enumerate(grammar.esp_grammar(b)[1])))
 
 
-def repair_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rules: int = 50) -> DataFrame:
+def repair_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rules: int = 0) -> DataFrame:
     return rows_of_texts(df, id_col, text_col, ("sym", "l", "r"), lambda b: ((256 + i, *r) for i, r in enumerate(grammar.repair_grammar(b, max_rules)[1])))
 
 

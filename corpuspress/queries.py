@@ -265,7 +265,7 @@ ROUND_TRIPS = {
     "huff": "encode(huff)", "arith": "encode(arithmetic)", "sle": "encode(sle)", "bwtzip": "bwt:rle:mtf:encode(huff)", "lzss": "lzss(huff)", "lzss_lcp": "lzss_lcp(bit, threshold=5)",
     "lz78": "lz78(huff)", "lz78_reset": "lz78(bit, dict_size=512)", "lzw": "lzw(bit)", "lzw_reset": "lzw(bit, dict_size=512)", "lz78u": "lz78u(coder=huff, threshold=5, comp=buffering)",
     "lcpcomp": "lcpcomp(coder=sle, threshold=5, comp=arrays, dec=scan(25))", **{f"lcpcomp_{s}": f"lcpcomp(coder=bit, comp={s})" for s in registry.STRATEGIES if s != "arrays"},
-    "repair": "repair(huff, 50)", "esp": "esp", "esp_plain": "esp(slp_coder=plain)", **{f"esp_{d}": f"esp(slp_coder=sorted({d}))" for d in grammar.ARRAYS if d != "plain"},
+    "repair": "repair(huff)", "esp": "esp", "esp_plain": "esp(slp_coder=plain)", **{f"esp_{d}": f"esp(slp_coder=sorted({d}))" for d in grammar.ARRAYS if d != "plain"},
     "lfs": "lfs_comp(sim_st)", "lfs2": "lfs2",
 }
 
@@ -335,7 +335,7 @@ def grammar_sizes(spark, sf_dir):
     out = {"repair_rules": "bigint", "repair_start": "bigint", "esp_rules": "bigint", "esp_depth": "bigint", "lfs_rules": "bigint", "lfs2_rules": "bigint", "lfs2_depth": "bigint"}
 
     def measure(b: bytes) -> tuple:
-        start, rules = grammar.repair_grammar(b, 50)
+        start, rules = grammar.repair_grammar(b)
         _, slp = grammar.esp_grammar(b)
         one, two = grammar.lfs_grammar(b, 2, 1)[1], grammar.lfs_grammar(b, 5, 2)[1]
         return len(rules), len(start), len(slp), max(grammar.depths(slp), default=0), len(one), len(two), max(grammar.depths(two), default=0)

@@ -113,3 +113,15 @@ def test_grammar_shapes():
     rules, found = grammar.longest_first(b"abcdefXabcdef\0", 2)
     assert rules[0][1] == 6 and len(found) == 2
     assert grammar.depths([(97, 98), (256, 256)]) == [1, 2]
+
+
+def test_pairs_left_over_in_runs_of_one_symbol():
+    # "ac" goes first (ties by pair); of the run of five the head is gone then, and "cc" is there twice.
+    assert grammar.repair_grammar(b"acccccac") == ([256, 257, 257, 256], [(97, 99), (99, 99)])
+    for s in FIXED + WORDS + drawn():
+        start, _ = grammar.repair_grammar(s)
+        last, n = {}, {}
+        for at, p in enumerate(zip(start, start[1:])):
+            if at > last.get(p, -2) + 1:
+                n[p], last[p] = n.get(p, 0) + 1, at
+        assert max(n.values(), default=0) < 2, s

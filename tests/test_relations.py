@@ -1,9 +1,14 @@
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from corpuspress import queries
 from corpuspress.__main__ import main
 from corpuspress.functions import hashes
 from corpuspress.operators import grammar, relations
+from corpuspress.plans import registry
+from support import SF
 
 
 def test_hashes(spark):
@@ -39,6 +44,23 @@ def test_relations_rebuild_the_text(spark):
     assert relations.lzw_rows(df).where("doc_id = 2").count() == 0 and relations.lz78u_rows(df).count() > 0 and relations.corpus_pairs(df, 3).count() == 3
 
 
+def test_pair_grammars_are_whole(spark):
+    text = {r["doc_id"]: r["text"].encode() for r in queries.table(spark, SF, "documents").where("text IS NOT NULL").collect()}
+    rules, sizes = {}, {r["doc_id"]: r for r in queries.QUERIES["grammar_sizes"](spark, SF).collect()}
+    for r in queries.QUERIES["repair_rules"](spark, SF).orderBy("sym").collect():
+        rules.setdefault(r["doc_id"], []).append((r["l"], r["r"]))
+    assert max(len(v) for v in rules.values()) > 50 and registry.canonical(queries.ROUND_TRIPS["repair"]) == "repair(coder=huff, max_rules=0)"
+    for i, data in text.items():
+        start, found = grammar.repair_grammar(data)
+        # No pair is left twice: occurrences that don't overlap, counted from the left.
+        last, n = {}, Counter()
+        for at, p in enumerate(zip(start, start[1:])):
+            if at > last.get(p, -2) + 1:
+                n[p], last[p] = n[p] + 1, at
+        assert max(n.values(), default=0) < 2 and grammar.expand(start, rules.get(i, [])) == data
+        assert rules.get(i, []) == found and (sizes[i]["repair_rules"], sizes[i]["repair_start"]) == (len(found), len(start))
+
+
 def test_command_line(spark, tmp_path, capsysbinary):
     (tmp_path / "in.txt").write_bytes(b"banana" * 30)
     packed, back = str(tmp_path / "packed"), str(tmp_path / "back")
