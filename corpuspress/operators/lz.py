@@ -111,6 +111,62 @@ def peaks(data: bytes, least: int) -> list[Factor]:
     return out
 
 
+def local_heaps(data: bytes, least: int) -> list[Factor]:
+    """Left to right with a heap of points of interest, the longest (then leftmost) of which is replaced first.
+
+    A point joins while the points before it reach it and its permuted LCP is above theirs; at the end of the
+    last one the heap is emptied: points to the left of a factor are shortened to end before it, points inside
+    it go, and what they cover to the right of it becomes a new point.  As in the reference, points still
+    waiting when the text ends stay literals.
+    """
+    x = of(data)
+    plcp, phi, n = x.plcp.tolist(), x.phi.tolist(), x.n
+    out: list[Factor] = []
+    # By place in the text: position and length, 0 if gone.
+    pos: list[int] = []
+    size: list[int] = []
+
+    def settle(now: int) -> None:
+        heap = [(-v, p, k) for k, (p, v) in enumerate(zip(pos, size))]
+        heapq.heapify(heap)
+        while heap:
+            v, p, k = heapq.heappop(heap)
+            if size[k] != -v or pos[k] != p:
+                continue
+            out.append((p, phi[p], -v))
+            size[k], after = 0, p - v
+            if after < now:
+                left, met = 0, False
+                for j in range(k + 1, len(pos)):
+                    if not size[j]:
+                        continue
+                    if pos[j] >= after:
+                        met = pos[j] == after
+                        break
+                    left, size[j] = max(left, pos[j] + size[j] - after), 0
+                if not met and left >= least:
+                    pos[k + 1], size[k + 1] = after, left
+                    heapq.heappush(heap, (-left, after, k + 1))
+            for j in range(k - 1, -1, -1):
+                if not size[j]:
+                    continue
+                if p - pos[j] >= size[j]:
+                    break
+                size[j] = p - pos[j] if p - pos[j] >= least else 0
+                if size[j]:
+                    heapq.heappush(heap, (-size[j], pos[j], j))
+        pos.clear()
+        size.clear()
+
+    for i in range(n - 1):
+        if pos and i - pos[-1] >= size[-1]:
+            settle(i)
+        if plcp[i] >= least if not pos else plcp[i] > size[-1]:
+            pos.append(i)
+            size.append(plcp[i])
+    return out
+
+
 def scan(data: bytes, least: int) -> list[Factor]:
     """Left to right: replace wherever the permuted LCP reaches the threshold."""
     x = of(data)
@@ -126,8 +182,10 @@ def scan(data: bytes, least: int) -> list[Factor]:
 
 
 def lcpcomp_factors(data: bytes, least: int = 5, comp: str = "arrays", flatten: bool = True) -> list[Factor]:
-    if comp in ("plcppeaks", "plcp"):
+    if comp == "plcppeaks":
         out = peaks(data, least)
+    elif comp == "plcp":
+        out = local_heaps(data, least)
     elif comp == "naive":
         out = scan(data, least)
     else:

@@ -125,3 +125,16 @@ def test_pairs_left_over_in_runs_of_one_symbol():
             if at > last.get(p, -2) + 1:
                 n[p], last[p] = n.get(p, 0) + 1, at
         assert max(n.values(), default=0) < 2, s
+
+
+def test_local_heaps_of_lcpcomp():
+    # Longest common prefixes with the suffix before: 2 3 2 4 3 2 5 4 3 2 1 1 0 1 0 0 0, so 0, 1, 3 and 6 wait (2, 3, 4, 5).
+    # 6 goes first and shortens 3 to 3; 1 (leftmost of length 3) takes 3 away, whose rest emerges at 4; 0 is too short by then.
+    text = b"acaccbccbcccbcac\0"
+    assert lz.lcpcomp_factors(text, 2, "plcp", flatten=False) == [(1, 13, 3), (4, 11, 2), (6, 3, 5)]
+    assert lz.lcpcomp_factors(text, 2, "plcppeaks", flatten=False) == [(1, 13, 3), (4, 11, 3), (7, 4, 4)]
+    for s in FIXED + WORDS + drawn():
+        data = transforms.escape(s)
+        found = lz.lcpcomp_factors(data, 2, "plcp", flatten=False)
+        assert all(p + n <= q for (p, _, n), (q, _, _) in zip(found, found[1:]))
+        assert all(n >= 2 and data[p : p + n] == data[r : r + n] for p, r, n in found)
