@@ -211,11 +211,15 @@ for _name, _columns, _sql in (
     ("bwt_columns", ("bwt", "first"), "SELECT id, i, bwt, first FROM s"),
     ("lyndon_factors", ("lyndon",), "SELECT id, sa AS i, coalesce(i < min(i) OVER (PARTITION BY id ORDER BY sa ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS lyndon FROM s"),
     ("sl_types", ("sl",), "SELECT id, sa AS i, coalesce(i < lead(i) OVER (PARTITION BY id ORDER BY sa), true) AS sl FROM s"),
-    ("longest_previous_factor", ("lpf",), None),
 ):
     _run = _index(*_columns)
     _run.__name__ = _name
-    query(f"{SUFFIXES} {_sql}" if _sql else None)(_run)
+    query(f"{SUFFIXES} {_sql}")(_run)
+
+
+@query()
+def longest_previous_factor(spark, sf_dir):
+    return index.text_index(table(spark, sf_dir, "documents"), ("lpf",), "doc_id", "text")
 
 
 @query(f"""{SUFFIXES}, l AS (SELECT id, i, bwt, lag(bwt) OVER (PARTITION BY id ORDER BY i) AS before, lag(x) OVER (PARTITION BY id ORDER BY i) AS y, x FROM s),

@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from corpuspress import queries
@@ -33,6 +34,22 @@ def test_relations(spark):
     assert q["flatten_depth"](spark, SF).count() == 200
 
 
+def test_longest_previous_factor_of_documents(spark):
+    docs = queries.table(spark, SF, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    sizes = {r["doc_id"]: len(r["text"].encode()) for r in docs.collect()}
+    found = queries.QUERIES["longest_previous_factor"](spark, SF)
+    assert {r["doc_id"]: r["count"] for r in found.groupBy("doc_id").count().collect()} == {i: n + 1 for i, n in sizes.items()}
+    some = sorted(sizes, key=lambda i: (sizes[i], i))[:20]
+    texts = {r["doc_id"]: r["text"].encode() for r in docs.where(F.col("doc_id").isin(some)).collect()}
+    got = {(r["doc_id"], r["i"]): r["lpf"] for r in found.where(F.col("doc_id").isin(some)).collect()}
+    for k, b in texts.items():
+        for i in range(len(b)):
+            size = 0
+            while i + size < len(b) and b.find(b[i : i + size + 1], 0, i + size) >= 0:
+                size += 1
+            assert got[k, i] == size
+
+
 def test_no_query_knows_the_training_operators():
     folder = os.path.dirname(os.path.abspath(queries.__file__))
     for root, dirs, files in os.walk(folder):
