@@ -34,6 +34,13 @@ def test_relations(spark):
     assert q["flatten_depth"](spark, SF).count() == 200
 
 
+def test_comparison_has_the_whole_suite(spark):
+    found = {r["algorithm"] for r in queries.QUERIES["compare_suite"](spark, SF).collect()}
+    assert len(found) == 15
+    assert {"gzip -1", "gzip -9", "bzip2 -1", "bzip2 -9", "lzma -1", "lzma -9"} < found
+    assert {"lz78u(coder=bit, threshold=5, comp=buffering(huff))", "lcpcomp(coder=sle, threshold=5, comp=heap, dec=compact)"} < found
+
+
 def test_longest_previous_factor_of_documents(spark):
     docs = queries.table(spark, SF, "documents").where("text IS NOT NULL").select("doc_id", "text")
     sizes = {r["doc_id"]: len(r["text"].encode()) for r in docs.collect()}
