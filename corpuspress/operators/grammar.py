@@ -480,6 +480,8 @@ ARRAYS = {
     "plain": (put_plain, get_plain), "huffman": (put_huffman, get_huffman), "arithmetic": (put_arithmetic, get_arithmetic), "wavelet_tree": (put_wavelet, get_wavelet),
     "succinct": (put_succinct, get_succinct), "diff": (put_diff, get_diff), "range_fit": (put_range_fit, get_range_fit),
 }
+#: With those that options of the above make.
+CODES = {**ARRAYS, "succinct_greedy": (lambda v: put_succinct(v, "greedy"), get_succinct)}
 
 
 def esp(data: bytes, slp_coder: str = "sorted", d_coding: str = "plain") -> bytes:
@@ -496,7 +498,7 @@ def esp(data: bytes, slp_coder: str = "sorted", d_coding: str = "plain") -> byte
             w.write(b, width)
         return w.done()
     # Left sides rise but for dependencies: zigzag steps; right sides by the chosen code.
-    return b"".join(chunk(p) for p in (w.done(), put_diff([a for a, _ in rules]), ARRAYS[d_coding][0]([b for _, b in rules])))
+    return b"".join(chunk(p) for p in (w.done(), put_diff([a for a, _ in rules]), CODES[d_coding][0]([b for _, b in rules])))
 
 
 def unesp(data: bytes, slp_coder: str = "sorted", d_coding: str = "plain") -> bytes:
@@ -509,7 +511,7 @@ def unesp(data: bytes, slp_coder: str = "sorted", d_coding: str = "plain") -> by
             rules.append((r.read(width), r.read(width)))
     else:
         _, left, right = chunks(data)
-        rules = list(zip(get_diff(left), ARRAYS[d_coding][1](right)))
+        rules = list(zip(get_diff(left), CODES[d_coding][1](right)))
     return b"" if root < 0 else expand([root], rules)
 
 

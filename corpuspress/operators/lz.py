@@ -6,6 +6,7 @@ import heapq
 
 import numpy as np
 
+from ..functions.bits import read_vbyte, vbyte
 from .index import neighbours, of
 from .transforms import escape, unescape
 
@@ -467,15 +468,18 @@ def lz78u_factors(data: bytes) -> list[Factor]:
     return out
 
 
-def lz78u(data: bytes, coder, threshold: int = 3) -> bytes:
-    """Reference, then the label; labels of ``threshold`` bytes or more are named by an earlier place where there is one."""
+def lz78u(data: bytes, coder, threshold: int = 3, string_coder=None) -> bytes:
+    """Reference, then the label; labels of ``threshold`` bytes or more are named by an earlier place where there is one.
+
+    Labels that are written out are a stream of their own, by ``string_coder``, after the references and their length.
+    """
     text = escape(data)
     factors = lz78u_factors(text)
     rows = []
     for begin, end, ref in factors:
         src = text.find(text[begin:end], 0, begin) if end - begin >= threshold else -1
         rows.append((ref, begin, end, src))
-    e = coder.encoder(b"".join(text[b:x] for _, b, x, s in rows if s < 0))
+    e, labels = coder.encoder(b""), b"".join(text[b:x] for _, b, x, s in rows if s < 0)
     for z, (ref, begin, end, src) in enumerate(rows):
         size = end - begin
         e.num(ref, 0, z)
@@ -485,13 +489,15 @@ def lz78u(data: bytes, coder, threshold: int = 3) -> bytes:
             e.num(size, 0, (1 << 32) - 1)
         if src >= 0:
             e.num(src, 0, begin)
-        else:
-            e.lits(text[begin:end])
-    return e.done()
+    own = (string_coder or coder).encoder(labels)
+    own.lits(labels)
+    refs = e.done()
+    return vbyte(len(refs)) + refs + own.done()
 
 
-def unlz78u(data: bytes, coder, threshold: int = 3) -> bytes:
-    d, phrases, out = coder.decoder(data), [b""], bytearray()
+def unlz78u(data: bytes, coder, threshold: int = 3, string_coder=None) -> bytes:
+    size, at = read_vbyte(data, 0)
+    d, own, phrases, out = coder.decoder(data[at : at + size]), (string_coder or coder).decoder(data[at + size :]), [b""], bytearray()
     while not d.eof():
         ref = d.num(0, len(phrases) - 1)
         known, size = d.bit(), d.num(0, 15)
@@ -500,7 +506,7 @@ def unlz78u(data: bytes, coder, threshold: int = 3) -> bytes:
         head = phrases[ref]
         begin = len(out) + len(head)
         out += head
-        label = bytes(out[(s := d.num(0, begin)) : s + size]) if known else d.lits(size)
+        label = bytes(out[(s := d.num(0, begin)) : s + size]) if known else own.lits(size)
         out += label
         phrases.append(head + label)
     return unescape(bytes(out) + b"\0")

@@ -123,7 +123,10 @@ def pair(forward: Callable, backward: Callable) -> Callable:
 
 
 def lfs_pair(layers: int) -> Callable:
-    def make(coder=None, min_lrf=2, **_):
+    def make(coder=None, min_lrf=2, computing_strat=2, exact=False):
+        if exact:
+            raise UnknownOption("exact=true is not supported")
+        min_lrf = computing_strat if computing_strat != 2 else min_lrf
         return Codec(lambda b: grammar.lfs(b, coder, min_lrf, layers), lambda b: grammar.unlfs(b, coder, min_lrf, layers))
 
     return make
@@ -148,11 +151,26 @@ choice("comp", STRATEGIES)
 choice("dec", DECODERS, scans=6)
 choice("textds", ("textds",), sa="divsufsort", phi="from_sa", plcp="from_phi", lcp="from_phi", isa="from_sa", compress="delayed")
 choice("ipd", ("std_unordered_map", "hash_map", "dynamic_size"))
-choice("d_coding", tuple(grammar.ARRAYS), subseq="optimal")
+
+
+def array_code(name: str) -> Callable:
+    def make(subseq: str) -> str:
+        code = name if subseq == "optimal" else f"{name}_{subseq}"
+        if code not in grammar.CODES:
+            raise UnknownOption(f"subseq={subseq} of {name} is not supported")
+        return code
+
+    return make
+
+
+for _name in grammar.ARRAYS:
+    register(Spec(_name, "d_coding", {"subseq": "optimal"}, {}, array_code(_name)))
 register(Spec("plain", "slp_coder", {}, {}, lambda: ("plain", "plain")))
 register(Spec("sorted", "slp_coder", {"d_coding": "plain"}, {"d_coding": "d_coding"}, lambda d_coding: ("sorted", d_coding)))
-choice("lfs_strat", ("esa", "st", "bst", "sim_st"), min_lrf=2)
-choice("lz78u_strat", ("streaming", "buffering"), string_coder="bit")
+for _name in ("esa", "st", "bst", "sim_st"):
+    register(Spec(_name, "lfs_strat", {"min_lrf": 2}, {}, lambda min_lrf: min_lrf))
+for _name in ("streaming", "buffering"):
+    register(Spec(_name, "lz78u_strat", {"string_coder": "bit"}, {"string_coder": "coder"}, lambda string_coder: string_coder))
 
 for _spec in (
     Spec("noop", "compressor", {"mode": "stream", "debug": False}, {}, lambda **_: Codec(bytes, bytes), "the text as it is"),
@@ -167,7 +185,7 @@ for _spec in (
     Spec("lcpcomp", "compressor", {"coder": "bit", "comp": "arrays", "dec": "scan", "textds": "textds", "threshold": 5, "flatten": True}, {**CODER, "comp": "comp", "dec": "dec", "textds": "textds"}, lambda coder, comp, dec, textds, threshold, flatten: Codec(lambda b: lz.lcpcomp(b, coder, comp, threshold, flatten), lambda b: lz.unfactor(b, coder)), "longest repeats first, references in both directions"),
     Spec("lz78", "compressor", {"coder": "bit", "lz78trie": "ternary", "dict_size": 0}, {**CODER, "lz78trie": "trie"}, lambda coder, lz78trie, dict_size: Codec(lambda b: lz.lz78(b, coder, dict_size), lambda b: lz.unlz78(b, coder, dict_size)), "growing phrases"),
     Spec("lzw", "compressor", {"coder": "bit", "lz78trie": "ternary", "dict_size": 0}, {**CODER, "lz78trie": "trie"}, lambda coder, lz78trie, dict_size: Codec(lambda b: lz.lzw(b, coder, dict_size), lambda b: lz.unlzw(b, coder, dict_size)), "growing phrases, codes only"),
-    Spec("lz78u", "compressor", {"comp": "streaming", "coder": "bit", "threshold": 3}, {**CODER, "comp": "lz78u_strat"}, lambda comp, coder, threshold: Codec(lambda b: lz.lz78u(b, coder, threshold), lambda b: lz.unlz78u(b, coder, threshold)), "phrases that grow by suffix-tree edges"),
+    Spec("lz78u", "compressor", {"comp": "streaming", "coder": "bit", "threshold": 3}, {**CODER, "comp": "lz78u_strat"}, lambda comp, coder, threshold: Codec(lambda b: lz.lz78u(b, coder, threshold, comp), lambda b: lz.unlz78u(b, coder, threshold, comp)), "phrases that grow by suffix-tree edges"),
     Spec("repair", "compressor", {"coder": "bit", "max_rules": 0}, CODER, pair(grammar.repair, grammar.unrepair), "most frequent pairs"),
     Spec("esp", "compressor", {"slp_coder": "sorted", "ipd": "std_unordered_map"}, {"slp_coder": "slp_coder", "ipd": "ipd"}, lambda slp_coder, ipd: Codec(lambda b: grammar.esp(b, *slp_coder), lambda b: grammar.unesp(b, *slp_coder)), "edit-sensitive parsing"),
     Spec("lfs_comp", "compressor", {"computing_strat": "esa", "coder": "huff", "min_lrf": 2}, {**CODER, "computing_strat": "lfs_strat"}, lfs_pair(1), "longest repeats substituted first"),

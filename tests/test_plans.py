@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from corpuspress.operators import grammar
 from corpuspress.plans import parser, registry
 
 
@@ -31,6 +32,21 @@ def test_full_matrix():
             assert c.backward(c.forward(s)) == s, a
 
 
+def test_nested_options_count():
+    s = b"abcXabcYabcdefgh1abcdefgh2" + bytes(range(120, 0, -1)) + b"abcKabcLefMefN"
+    packed = lambda a: registry.codec(a).forward(s)
+    for one, other in (("lfs_comp(st(min_lrf=8))", "lfs_comp(st)"), ("lz78u(comp=buffering(huff))", "lz78u(comp=buffering(ascii))")):
+        assert packed(one) != packed(other)
+    assert registry.codec("lfs_comp(st(min_lrf=8))").forward(s) == registry.codec("lfs_comp(st, min_lrf=8)").forward(s)
+    assert grammar.esp(s, "sorted", "succinct_greedy") == registry.codec("esp(sorted(succinct(subseq=greedy)))").forward(s) != registry.codec("esp(sorted(succinct))").forward(s)
+    for a in ("lfs_comp(st(min_lrf=8))", "lz78u(comp=buffering(huff))", "lz78u(coder=huff, comp=streaming(sle))", "esp(sorted(succinct(subseq=greedy)))"):
+        for t in (s, b"", b"\0\xff"):
+            assert registry.codec(a).backward(registry.codec(a).forward(t)) == t
+    for a in ("lfs2(exact=true)", "lfs2bst(exact=true)", "esp(sorted(diff(subseq=greedy)))"):
+        with pytest.raises(parser.UnknownOption):
+            registry.codec(a)
+
+
 def test_columns(spark):
     df = spark.createDataFrame([(1, "banana" * 50), (2, ""), (3, None)], "id int, t string")
     out = df.select("id", registry.pack(F.col("t"), "bwt:rle:mtf:encode(huff)").alias("p"), registry.compress(F.col("t"), "lzw").alias("r")).withColumn("back", registry.unpack(F.col("p"))).orderBy("id").collect()
