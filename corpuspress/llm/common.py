@@ -26,13 +26,19 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the one that all executors share.
 
-    ``spark.checkpoint.dir`` is read from the session; only where it is unset
-    (tests, a single machine) a local folder is used and set.
+    ``spark.checkpoint.dir`` is read from the session; where it is unset, a local
+    folder is used and set if the master is a single process, else it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = current.get() if current.isDefined() else "file://" + tempfile.mkdtemp(prefix="corpuspress-")
+        master = spark.sparkContext.master
+        if current.isDefined():
+            base = current.get()
+        elif master == "local" or master.startswith("local["):
+            base = "file://" + tempfile.mkdtemp(prefix="corpuspress-")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -48,6 +54,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(taken: list[str], *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of ``taken`` is called so (case aside)."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def local_path(url: str) -> str:
     """The file-system path of a ``file:`` URL (a mounted shared folder)."""
     if url.startswith("file:"):

@@ -4,7 +4,8 @@ One 64-bit hash a shingle: seven bits choose a register, and of the smallest
 rest in each register only the number of leading zeros and ten mantissa bits are
 kept (16 bits).  Registers that no shingle chose borrow from others along a
 probe sequence of their own, so that short texts fill all registers and two
-registers agree with the probability of the sets' Jaccard similarity.
+registers agree with the probability of the sets' Jaccard similarity.  A bit for
+each register says whether it was chosen; only those count in an estimate.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from .fingerprints import mixed, shingle_hashes
 REGISTERS, MANTISSA = 128, 10
 BAND_ROWS = 4
 BANDS = REGISTERS // BAND_ROWS
+WIDTH = 2 * REGISTERS + REGISTERS // 8
 #: Chance that two unrelated registers agree, for this mantissa (Yu and Weber's expected collisions).
 COLLISION = 0.169919487159739 / (1 << MANTISSA)
 
@@ -51,8 +53,8 @@ def set_keys(first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def registers(first: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """n x REGISTERS unsigned 16-bit registers; zeros for an empty set."""
+def registers(first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """n x REGISTERS unsigned 16-bit registers, zeros for an empty set, and which of them were chosen."""
     n = len(first) - 1
     row = np.repeat(np.arange(n), np.diff(first))
     h = mixed(h ^ np.uint64(0xA0761D6478BD642F))
@@ -78,7 +80,18 @@ def registers(first: np.ndarray, h: np.ndarray) -> np.ndarray:
         hit = filled[r, probe]
         values[r[hit], j[hit]] = out[r[hit], probe[hit]]
         empty, attempt = empty[~hit], attempt + 1
-    return values
+    return values, filled
+
+
+def packed(first: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """n x WIDTH bytes: the registers and a bit for each that was chosen."""
+    values, filled = registers(first, h)
+    return np.concatenate([values.astype("<u2").view(np.uint8).reshape(len(values), -1), np.packbits(filled, axis=1)], 1)
+
+
+def unpacked(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    rows = data.reshape(-1, WIDTH)
+    return np.ascontiguousarray(rows[:, : 2 * REGISTERS]).view("<u2"), np.unpackbits(rows[:, 2 * REGISTERS :], axis=1).astype(bool)
 
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
@@ -89,6 +102,20 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
     return mixed(packed ^ mixed(key + np.uint64(1))).view(np.int64)
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Jaccard similarity of register rows, corrected for chance agreement."""
-    return np.clip(((a == b).mean(1) - COLLISION) / (1 - COLLISION), 0, 1)
+def estimate(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Jaccard similarity of rows of (registers, chosen), corrected for chance agreement, and the registers it rests on.
+
+    Of the union's shingles in a register the smallest decides, and it is as
+    likely as any other of them: the registers that either set chose agree with
+    the probability of the similarity, or by a collision of mantissas.
+    """
+    cells = (a[1] | b[1]).sum(1)
+    agree = ((a[0] == b[0]) & a[1] & b[1]).sum(1) / np.maximum(cells, 1)
+    return np.clip((agree - COLLISION) / (1 - COLLISION), 0, 1), cells
+
+
+def surely_below(similarity: np.ndarray, cells: np.ndarray, threshold: float, risk: float = 1e-9) -> np.ndarray:
+    """Estimates that two sets at the threshold have with a chance below ``risk`` (Chernoff's bound in the number of registers)."""
+    x = np.clip(similarity, 1e-12, 1 - 1e-12)
+    gap = x * np.log(x / threshold) + (1 - x) * np.log((1 - x) / (1 - threshold))
+    return (similarity < threshold) & (cells * gap > -np.log(risk))

@@ -119,12 +119,53 @@ def test_near_duplicates_sql(spark):
     compare_with_sql(spark, near_dedup.op9_minhash_near_dedup, near_dedup.OP9_SQL)
 
 
+def test_rows_that_share_an_id(spark):
+    """Ids never name a set: a unique text beside a copy of another row under its id is a component of its own."""
+    rng = random.Random(9)
+    a = " ".join(f"w{rng.randrange(500)}" for _ in range(80))
+    near = a.replace(a.split()[40], "changed", 1)
+    rows = [(5, a), (3, near), (5, "an unrelated text about something else"), (None, a), (None, "only here and without an id"), (None, "only here and without an id"), (7, "a b c"), (7, "A b c"), (1, None), (1, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(df).collect())
+    assert got == components(rows)
+    assert got[5, 5, 5, True] == 1
+    kept = Counter((r["doc_id"], r["text"]) for r in near_dedup.without_near_duplicates(df).collect())
+    assert sum(kept.values()) == 6
+    assert kept[3, near] == 1 and kept[5, rows[2][1]] == 1 and kept[None, rows[4][1]] == 1 and kept[7, "a b c"] + kept[7, "A b c"] == 1 and kept[1, None] == 1 and kept[1, ""] == 1
+
+
+def test_rows_of_one_component_and_id(spark):
+    """Of rows that differ in other columns only, the same one stays whatever the order."""
+    rows = [(1, "some words that are here twice", x) for x in ("p", "q", "r")] + [(2, "some words that are here twice", "s")]
+    stay = {near_dedup.without_near_duplicates(spark.createDataFrame(r, "doc_id bigint, text string, key2 string")).first() for r in (rows, rows[::-1])}
+    assert len(stay) == 1 and next(iter(stay))["doc_id"] == 1
+
+
+def test_members_of_a_hot_bucket(spark):
+    """A template shared by many texts that are all below the threshold, and some pairs above it."""
+    rng = random.Random(6)
+    head = [f"h{i}" for i in range(100)]
+    own = lambda n: [f"o{rng.randrange(10**6)}" for _ in range(n)]
+    rows = [(i, " ".join(head + own(30))) for i in range(150)]
+    tails = [own(30) for _ in range(6)]
+    rows += [(1000 + 10 * i + j, " ".join(head + t[:-1] + own(1))) for i, t in enumerate(tails) for j in range(3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(df).collect())
+    assert got == components(rows)
+    rows = near_dedup.nodes_of(near_dedup.signed(df, "doc_id", "text"))
+    texts = rows.join(df.withColumnRenamed("doc_id", "rep"), "rep").select("node", "n", F.col("node").alias("comp"), "text")
+    assert near_dedup.prefix_pairs(near_dedup.prefix_rows(texts, 80), 80, 2).count() < 40
+
+
 def test_rows_that_stay(spark):
     df = messy(spark)
     kept = near_dedup.without_near_duplicates(df)
     assert kept.columns == df.columns
     rows = [(r["doc_id"], r["text"]) for r in kept.collect()]
-    assert len(rows) == len(set(rows)) and (18, df.where("doc_id = 18").first()["text"]) in rows and not any(k in (21, 24) for k, _ in rows)
+    worded = [r for r in rows if (r[1] or "").split()]
+    assert len(worded) == len(set(worded)) and (18, df.where("doc_id = 18").first()["text"]) in rows and not any(k in (21, 24) for k, _ in rows)
+    empty = Counter((r["doc_id"], r["text"]) for r in df.collect() if not (r["text"] or "").split())
+    assert Counter(r for r in rows if not (r[1] or "").split()) == empty
 
 
 def test_registers():
@@ -132,10 +173,28 @@ def test_registers():
     a, b = rng.integers(0, 1 << 63, (2, 2000), np.uint64)
     x, y = np.sort(np.concatenate([a, b[:500]])), np.sort(np.concatenate([a, b[500:1000]]))
     regs = hyperminhash.registers(np.array([0, 2500, 5000, 5000]), np.concatenate([x, y]))
-    assert abs(hyperminhash.estimate(regs[:1], regs[1:2])[0] - 2000 / 3000) < 0.15
-    assert (regs[2] == 0).all() and (regs[:2] > 0).all()
-    few = hyperminhash.registers(np.array([0, 3]), np.sort(a[:3]))
-    assert len(np.unique(few)) == 3
+    similarity, cells = hyperminhash.estimate((regs[0][:1], regs[1][:1]), (regs[0][1:2], regs[1][1:2]))
+    assert abs(similarity[0] - 2000 / 3000) < 0.15 and cells[0] == 128
+    assert (regs[0][2] == 0).all() and (regs[0][:2] > 0).all()
+    few, chosen = hyperminhash.registers(np.array([0, 3]), np.sort(a[:3]))
+    assert len(np.unique(few)) == 3 and chosen.sum() == 3
+
+
+def test_estimates_of_all_sizes():
+    """The bound follows the registers that are filled: pairs at the threshold pass at every size, far ones don't where there are enough."""
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 5, 9, 20, 45, 90, 300, 900):
+        both = -(-8 * n // 9)
+        sets, far = [], []
+        for _ in range(60):
+            h = rng.integers(0, 1 << 63, 4 * n + 2, np.uint64)
+            sets += [np.sort(h[:n]), np.sort(np.concatenate([h[:both], h[n : 2 * n - both]]))]
+            far += [np.sort(h[2 * n : 3 * n])]
+        pack = lambda x: hyperminhash.unpacked(hyperminhash.packed(np.cumsum([0, *map(len, x)]), np.concatenate(x)))
+        a, b, c = pack(sets[::2]), pack(sets[1::2]), pack(far)
+        assert not hyperminhash.surely_below(*hyperminhash.estimate(a, b), 0.8).any()
+        if n >= 45:
+            assert hyperminhash.surely_below(*hyperminhash.estimate(a, c), 0.8).all()
 
 
 def brute(rows, length):
