@@ -45,15 +45,15 @@ class Rolling:
         return mixed((self.sums[size:] - self.sums[:n]) * self.down[:n])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, Rolling]:
-    """Places and gram hashes of the anchors of all windows of ``length`` bytes that lie in one text."""
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places and gram hashes of the anchors of all windows of ``length`` bytes that lie in one text, and where the first and the last window of each start."""
     rolling = Rolling(data)
-    n = len(data)
+    n, none = len(data), np.zeros(0, np.int64)
     if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), rolling
+        return none, np.zeros(0, np.uint64), none, none
     h = rolling.grams(gram)
-    bits = np.uint64(max(1, int(n).bit_length()))
-    low = np.uint64((1 << int(bits)) - 1)
+    # The upper half of the hash decides, whatever else is in the buffer; then the place.
+    low = np.uint64((1 << 32) - 1)
     key = (h & ~low) | np.arange(len(h), dtype=np.uint64)
     width = length - gram + 1
     size, least = 1, key
@@ -66,8 +66,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int = GRAM
     full = np.diff(offsets) >= length
     np.add.at(inside, offsets[:-1][full], 1)
     np.add.at(inside, offsets[1:][full] - length + 1, -1)
-    least = least[np.cumsum(inside[: len(least)]) > 0] & low
+    window = np.flatnonzero(np.cumsum(inside[: len(least)]) > 0)
+    least = (least[window] & low).astype(np.int64)
     if not len(least):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), rolling
-    at = least[np.append(True, least[1:] != least[:-1])].astype(np.int64)
-    return at, h[at], rolling
+        return none, np.zeros(0, np.uint64), none, none
+    new = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+    return least[new], h[least[new]], window[new], window[np.append(new[1:], len(least)) - 1]

@@ -6,34 +6,41 @@ else in the corpus.  Equal strings of that length contain the same anchor (see
 by anchor, and only texts around anchors that occur twice need to be sorted.
 
 1. Anchors are counted; only their 64-bit hashes move.
-2. For anchors found twice, the context is hashed: all bytes of the strings that
-   contain the anchor.  A context found twice is repeated as a whole: its
-   occurrences are covered, and it need not be sorted more than once.
-3. What is left are contexts that are unique although their anchor isn't: the
-   ends of repeats.  Each anchor's distinct contexts are sorted as suffixes that
-   start at the anchor, with the LCP array of their neighbours and the same for
-   the text to the left; common-prefix intervals of either side, crossed level by
-   level, say which strings are repeated (``anchored_repeats``).
-   ``repeat_groups`` gives the maximal repeats themselves with all occurrences,
-   by a stack scan over a full suffix array with the test for left diversity.
-4. An anchor with over ``most_contexts`` distinct contexts is never gathered in
-   one task: its contexts are cut into ranges of string starts, equal ranges and
-   then equal strings are counted by aggregation, which gives the same spans.
+2. For anchors found twice, the context is named by a hash: all bytes of the
+   strings that contain the anchor.  Equal contexts are one leaf of the array with
+   all its occurrences, which are covered as a whole.
+3. Each anchor's distinct contexts are sorted as suffixes that start at the anchor,
+   with the LCP array of their neighbours, and the texts before the anchor, read
+   backwards, likewise.  A stack scan over the first gives the tree of
+   common-prefix intervals; in each of them the same scan over the order of the
+   second gives the sets that are alike to the left as far as possible.  A set that
+   lies in one child of its interval isn't maximal to the right and is left out.
+   What remains are the maximal repeats around the anchor, each with all its
+   contexts (``repeat_groups``); the spans to cut are their union.
+4. An anchor with over ``most_contexts`` distinct contexts is never gathered in one
+   task.  Contexts that share a string which starts between a and b bytes before
+   the anchor have the a bytes before it and the length - b bytes from it in common:
+   that is the key of smaller parts, to which the same scan applies.  In a part that
+   is still too large, a key of one start only is a whole string of ``length`` bytes:
+   its contexts are a repeat by themselves, and counting them needs no gathering.
 5. Spans are gathered by document and cut out.
 
 Between the passes, bitsets of bounded size thin out what is shuffled; they let
-through too much, never too little, and all that is compared is real text at
-distinct places, so the result doesn't depend on them.
+through too much, never too little.  Anchors, equal contexts and the keys of parts
+are told apart by 64-bit hashes (together with the anchor's own, which is another
+64 bits); the scans compare bytes.
 
 Defined cases: a null text is an empty one; texts shorter than ``length`` keep
 all bytes; rows that repeat, or share or lack an id, are separate documents (the
-same text twice is a repeat); an empty table gives no rows; other columns are
-not read.
+same text twice is a repeat); a very long text is read in overlapping windows of
+``WINDOW`` bytes, so memory beside the text itself doesn't grow with it; an empty
+table gives no rows; other columns may have any names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,28 +54,48 @@ from . import common, suffix
 from .fingerprints import mixed
 
 LENGTH, SALTS, RANGES = 200, 16, 8
-SLICE = 256 << 10
+SLICE, WINDOW = 256 << 10, 1 << 20
+#: Distinct contexts of an anchor that one task takes at most.
+MOST_CONTEXTS = 10_000
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """key (of id and text), doc_id, text as bytes."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.xxhash64(F.col(id_col), text).alias("key"), F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"))
+    """key (of id and text), doc_id, text."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    number = F.col(f"`{id_col}`").cast("bigint")
+    return docs.select(F.xxhash64(number, text).alias("key"), number.alias("doc_id"), text.alias("text"))
 
 
 class Found:
-    """The anchors of one slice of rows."""
+    """The anchors of one slice of rows, or of a window of one long text.
 
-    def __init__(self, batch: pa.RecordBatch, length: int):
-        self.batch = batch
-        self.data, self.offsets = common.text_buffer(batch.column(2))
-        self.at, self.gram, self.rolling = anch.anchors(self.data, self.offsets, length)
+    ``base``: where ``data`` begins in its text; ``known``: the last anchor of the
+    window before, which isn't found again; ``end``: anchors whose first string
+    starts there or later are the next window's.
+    """
+
+    def __init__(self, batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, length: int, base: int = 0, known: int = -1, end: int | None = None):
+        self.batch, self.data, self.offsets, self.base = batch, data, offsets, base
+        self.at, self.gram, first, last = anch.anchors(data, offsets, length)
+        mine = np.flatnonzero((self.at + base > known) & (first < (len(data) if end is None else end)))
+        self.at, self.gram = self.at[mine], self.gram[mine]
+        #: Bytes from the first and the last string that has this anchor to the anchor.
+        self.far, self.near = self.at - first[mine], self.at - last[mine]
         self.row = np.searchsorted(self.offsets, self.at, "right") - 1
-        self.pos = self.at - self.offsets[self.row]
+        self.pos = self.at - self.offsets[self.row] + base
         reach = length - anch.GRAM
         self.low = np.maximum(self.at - reach, self.offsets[self.row])
         self.high = np.minimum(self.at + length, self.offsets[self.row + 1])
 
+    def widen(self, text: np.ndarray, length: int) -> None:
+        """Contexts may reach beyond the window: from here on ``data`` has what they need."""
+        begin = max(0, self.base - length)
+        end = min(len(text), self.base + len(self.data) + length)
+        shift = self.base - begin
+        self.data, self.at, self.base = text[begin:end], self.at + shift, begin
+        self.offsets = np.array([0, end - begin])
+        self.low, self.high = np.maximum(self.at - (length - anch.GRAM), 0), np.minimum(self.at + length, end - begin)
+
     def contexts(self) -> np.ndarray:
         other = anch.Rolling(self.data, 1)
         return mixed(other.of(self.low, self.high) + (self.at - self.low).astype(np.uint64)).view(np.int64)
@@ -78,6 +105,23 @@ class Found:
         return [pa.array(self.gram[keep].view(np.int64)), self.batch.column(0).take(rows), self.batch.column(1).take(rows), pa.array(self.pos[keep].astype(np.int32))]
 
 
+def anchored(batches: Iterator[pa.RecordBatch], length: int, window: int = WINDOW) -> Iterator[Found]:
+    """The anchors of all texts; a text of over ``window`` bytes comes in windows that overlap by a string."""
+    for batch in common.slices(batches, "text", SLICE):
+        data, offsets = common.text_buffer(batch.column(2))
+        if len(data) <= window or batch.num_rows > 1:
+            yield Found(batch, data, offsets, length)
+            continue
+        known = -1
+        for base in range(0, len(data) - length + 1, window):
+            part = data[base : base + window + 2 * length]
+            found = Found(batch, part, np.array([0, len(part)]), length, base, known, window)
+            if len(found.pos):
+                known = int(found.pos[-1])
+            found.widen(data, length)
+            yield found
+
+
 def bit_lookup(keys: DataFrame, column: str):
     """``common.hash_filter`` for numpy arrays: (bits, broadcast words) of a bigint column's mixed values."""
     n = keys.count()
@@ -105,8 +149,8 @@ def place_of(key: np.ndarray, pos: np.ndarray) -> np.ndarray:
 
 def repeated_anchors(rows: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "text", SLICE):
-            values, times = np.unique(Found(batch, length).gram, return_counts=True)
+        for f in anchored(batches, length):
+            values, times = np.unique(f.gram, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(np.minimum(times, 2).astype(np.int32))], ["gram", "n"])
 
     counted = rows.mapInArrow(run, "gram bigint, n int").groupBy("gram").agg(F.sum("n").alias("n"))
@@ -117,10 +161,9 @@ def occurrences(rows: DataFrame, wanted, length: int) -> DataFrame:
     """gram, key, doc_id, pos, context, lo, hi of each anchor that may be repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "text", SLICE):
-            f = Found(batch, length)
+        for f in anchored(batches, length):
             keep = np.flatnonzero(maybe(wanted.value, f.gram))
-            begin = f.offsets[f.row[keep]]
+            begin = f.offsets[f.row[keep]] - f.base
             yield pa.RecordBatch.from_arrays(
                 [*f.take(keep), pa.array(f.contexts()[keep]), pa.array((f.low[keep] - begin).astype(np.int32)), pa.array((f.high[keep] - begin).astype(np.int32))],
                 ["gram", "key", "doc_id", "pos", "context", "lo", "hi"],
@@ -139,67 +182,37 @@ def salted(rows: DataFrame) -> DataFrame:
     return rows.withColumn("salt", F.pmod(F.xxhash64("key", "pos"), F.lit(SALTS)).cast("int"))
 
 
-def context_rows(rows: DataFrame, places, length: int) -> DataFrame:
-    """gram, key, doc_id, pos, left, bytes of the contexts to sort."""
+def context_rows(rows: DataFrame, places, length: int, groups: bool) -> DataFrame:
+    """The columns of ``CONTEXT`` for the contexts to sort, and those of ``MORE`` if sets are wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "text", SLICE):
-            f = Found(batch, length)
-            key = batch.column(0).to_numpy()
+        for f in anchored(batches, length):
+            key = f.batch.column(0).to_numpy()
             keep = np.flatnonzero(maybe(places.value, place_of(key[f.row], f.pos)))
             size = f.high[keep] - f.low[keep]
             ends = np.concatenate([[0], np.cumsum(size)])
             data = f.data[np.arange(ends[-1]) - np.repeat(ends[:-1] - f.low[keep], size)]
             text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(keep), [None, pa.py_buffer(ends), pa.py_buffer(data)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([*f.take(keep), pa.array((f.at - f.low)[keep].astype(np.int32)), text], ["gram", "key", "doc_id", "pos", "left", "bytes"])
+            more = [pa.array(f.contexts()[keep]), *(pa.array(x[keep].astype(np.int32)) for x in (f.near, f.far))] if groups else []
+            yield pa.RecordBatch.from_arrays([*f.take(keep), pa.array((f.at - f.low)[keep].astype(np.int32)), text, *more], CONTEXT + MORE * groups)
 
-    return rows.mapInArrow(run, CONTEXT)
+    return rows.mapInArrow(run, kinds_of(CONTEXT + MORE * groups))
 
 
-CONTEXT = "gram bigint, key bigint, doc_id bigint, pos int, left int, bytes binary"
-SPAN = "key bigint, doc_id bigint, lo int, hi int"
+#: A context: its anchor, its place, and its bytes, ``left`` of which stand before the anchor.
+CONTEXT = ["gram", "key", "doc_id", "pos", "left", "bytes"]
+#: Its name, and how far before the anchor strings start that have no other anchor.
+MORE = ["context", "near", "far"]
+KINDS = {"pos": "int", "left": "int", "bytes": "binary", "near": "int", "far": "int", "start": "int", "lo": "int", "hi": "int", "range": "int"}
 
 
-def repeat_groups(data: np.ndarray, offsets: np.ndarray, left: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal repeats among contexts of the same group, aligned at their anchors.
+def kinds_of(names: list[str]) -> str:
+    return ", ".join(f"`{c}` {KINDS.get(c, 'bigint')}" for c in names)
 
-    Returns the suffix array's places (positions in ``data``), and left, right,
-    depth of the intervals: each is one repeat with all its occurrences.  Only
-    positions at the same distance from their anchors are compared, so two places
-    are never the same bytes of a text seen through two anchors.
-    """
-    n = len(data)
-    none = np.zeros(0, np.int64)
-    if not n:
-        return none, none, none, none
-    size = np.diff(offsets)
-    doc = np.repeat(np.arange(len(size)), size)
-    end = offsets[1:][doc]
-    column = np.arange(n) - (offsets[:-1] + left)[doc]
-    word = np.zeros(n, np.uint64)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    for j in range(8):
-        word |= padded[j : n + j].astype(np.uint64) << np.uint64(56 - 8 * j)
-    _, word_rank = np.unique(word, return_inverse=True)
-    symbols = (group[doc] * (4 * length) + column + 2 * length) * (int(word_rank.max()) + 1) + word_rank
-    sa, levels = suffix.sort_suffixes(symbols, doc, depth=2 * length, span=8)
-    lcp = suffix.neighbour_lcp(sa, levels, end, data)
-    before = np.full(n, -1, np.int64)
-    before[1:] = data[:-1]
-    first = offsets[:-1][size > 0]
-    before[first] = -1 - np.arange(len(first))
-    # Runs of neighbours that share ``length`` bytes; without diversity to the left the same repeat starts earlier.
-    long = lcp >= length
-    starts = np.flatnonzero(long & ~np.append(False, long[:-1]))
-    ends = np.flatnonzero(long & ~np.append(long[1:], False))
-    differ = np.zeros(n + 1, np.int64)
-    differ[1:] = np.cumsum(np.append(False, before[sa[1:]] != before[sa[:-1]]))
-    diverse = differ[ends + 1] - differ[starts] > 0
-    kept = np.zeros(n + 1, np.int64)
-    np.add.at(kept, starts[diverse], 1)
-    np.add.at(kept, ends[diverse] + 1, -1)
-    scan = np.where(np.cumsum(kept[:-1]) > 0, lcp, 0)
-    return (sa, *suffix.maximal_repeats(sa, scan, before, length))
+
+SPAN = "key bigint, doc_id bigint, lo int, hi int"
+#: A set of contexts with the bytes before and from the anchor that they share; ``repeat`` names the set.
+GROUP = "repeat string, gram bigint, context bigint, before int, after int"
 
 
 def sparse_order(cells: np.ndarray, size: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,15 +230,61 @@ def sparse_order(cells: np.ndarray, size: np.ndarray, group: np.ndarray) -> tupl
     return order, lcp
 
 
-def anchored_repeats(data: np.ndarray, offsets: np.ndarray, left: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Nearest and farthest start (bytes before the anchor) of a repeated string of each context; -1 where there is none.
+class Lowest:
+    """Range minima by a sparse table."""
 
-    The suffixes at the anchors are sorted, and so are the texts before the
-    anchors, read backwards.  At depth d the stretches of the LCP array that
-    reach d are the common-prefix intervals; two contexts share a string that
-    starts o bytes before the anchor just if they share an interval of depth
-    length - o and, to the left, one of depth o.  The intervals of all depths are
-    read level by level, for all anchors of the batch at once.
+    def __init__(self, values: np.ndarray):
+        self.levels = [values]
+        while 2 << (len(self.levels) - 1) <= len(values):
+            last, step = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(np.minimum(last[:-step], last[step:]))
+
+    def of(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Minima of ``values[low:high]``, ranges not empty."""
+        level = np.frexp((high - low).astype(float))[1] - 1
+        out = np.empty(len(low), np.int64)
+        for j in np.unique(level).tolist():
+            at = np.flatnonzero(level == j)
+            out[at] = np.minimum(self.levels[j][low[at]], self.levels[j][high[at] - (1 << j)])
+        return out
+
+
+class Groups:
+    """Maximal repeats around anchors: repeat g is shared by the contexts ``rows[first[g] : last[g] + 1]``,
+    ``before[g]`` bytes before and ``after[g]`` bytes from their anchors."""
+
+    def __init__(self, rows: np.ndarray, first: np.ndarray, last: np.ndarray, before: np.ndarray, after: np.ndarray):
+        self.rows, self.first, self.last, self.before, self.after = rows, first, last, before, after
+
+    def spans(self, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """The most bytes before and from the anchor that a repeat of each of m contexts has; -1 where there is none.
+
+        All occurrences of each repeat are marked.  Sets of one interval are nested, and the
+        scan emits the inner one first: marked in the reverse order, each place keeps its own innermost.
+        """
+        deep, wide = np.full(len(self.rows), -1, np.int64), np.full(len(self.rows), -1, np.int64)
+        for a, b, x, y in zip(self.first[::-1].tolist(), (self.last[::-1] + 1).tolist(), self.before[::-1].tolist(), self.after[::-1].tolist()):
+            deep[a:b], wide[a:b] = x, y
+        far, near = np.full(m, -1, np.int64), np.full(m, -1, np.int64)
+        hit = np.flatnonzero(deep >= 0)
+        np.maximum.at(far, self.rows[hit], deep[hit])
+        np.maximum.at(near, self.rows[hit], wide[hit])
+        return far, near
+
+    def keep(self, which: np.ndarray) -> None:
+        self.first, self.last, self.before, self.after = (x[which] for x in (self.first, self.last, self.before, self.after))
+
+    def members(self) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the repeat, context) for all occurrences."""
+        size = self.last - self.first + 1
+        number = np.repeat(np.arange(len(size)), size)
+        return number, self.rows[np.arange(len(number)) - np.repeat(np.cumsum(size) - size - self.first, size)]
+
+
+def repeat_groups(data: np.ndarray, offsets: np.ndarray, left: np.ndarray, group: np.ndarray, length: int) -> Groups:
+    """All maximal repeats of ``length`` bytes or more around the anchors of the same group.
+
+    ``left``: where the anchor stands in each context.  See the module's step 3.
     """
     m, reach = len(left), length - anch.GRAM
     size = np.diff(offsets)
@@ -237,38 +296,66 @@ def anchored_repeats(data: np.ndarray, offsets: np.ndarray, left: np.ndarray, gr
     behind[row[~right], -1 - place[~right]] = data[~right]
     order_r, lcp_r = sparse_order(ahead, size - left, group)
     order_l, lcp_l = sparse_order(behind, left, group)
-    near, far = np.full(m, -1, np.int64), np.full(m, -1, np.int64)
-    run_r, run_l = np.empty(m, np.int64), np.empty(m, np.int64)
-    for o in range(reach + 1):
-        run_r[order_r] = np.cumsum(lcp_r < length - o)
-        run_l[order_l] = np.cumsum(lcp_l < o)
-        live = np.flatnonzero((np.bincount(run_r)[run_r] > 1) & (np.bincount(run_l)[run_l] > 1))
-        if not len(live):
-            continue
-        key = run_r[live] * (m + 1) + run_l[live]
-        by = np.argsort(key)
-        same = key[by][1:] == key[by][:-1]
-        hit = live[by[np.append(same, False) | np.append(False, same)]]
-        far[hit] = o
-        near[hit[near[hit] < 0]] = o
-    return near, far
-
-
-def sorted_spans(contexts: DataFrame, length: int, a_time: int = 5_000) -> DataFrame:
-    """A span for each context with repeated strings; contexts of an anchor meet in one task, some anchors at a time.
-
-    All strings of a context hold its anchor, so they overlap and their union is one span.
+    rank_r, rank_l = np.empty(m, np.int64), np.empty(m, np.int64)
+    rank_r[order_r], rank_l[order_l] = np.arange(m), np.arange(m)
+    # The tree of common-prefix intervals of what follows the anchors.
+    low, high, deep = suffix.lcp_intervals(lcp_r, length - reach)
+    # A context takes part in an interval only if any other is alike enough to the left.
+    beside = np.maximum(lcp_l, np.append(lcp_l[1:], -1))[rank_l]
+    count = high - low + 1
+    node = np.repeat(np.arange(len(low)), count)
+    member = order_r[np.arange(len(node)) - np.repeat(np.cumsum(count) - count - low, count)]
+    live = beside[member] >= length - deep[node]
+    node, member = node[live], member[live]
+    order = np.argsort(node * m + rank_l[member])
+    node, member = node[order], member[order]
+    none = np.zeros(0, np.int64)
+    if not len(node):
+        return Groups(none, none, none, none, none)
+    # Sets of an interval that share what precedes them: the same scan, over how much neighbours have beyond the length still wanted.
+    same = np.flatnonzero(node[1:] == node[:-1])
+    lowest = Lowest(lcp_l)
+    more = np.full(len(node), -1, np.int64)
+    more[same + 1] = np.maximum(-1, lowest.of(rank_l[member[same]] + 1, rank_l[member[same + 1]] + 1) - (length - deep[node[same]]))
+    first, last, extra = suffix.lcp_intervals(more, 0)
+    after = deep[node[first]]
+    before = extra + length - after
+    # To the left a set of the scan can't be extended; to the right it can't if its interval is the smallest around it.
+    edges = np.stack([first, last + 1], 1).ravel()
+    own = np.append(rank_r[member], 0)
+    a, b = (f.reduceat(own, edges)[::2] if len(first) else none for f in (np.minimum, np.maximum))
+    maximal = Lowest(lcp_r).of(a + 1, b + 1) == after if len(first) else none.astype(bool)
+    return Groups(member, first[maximal], last[maximal], before[maximal], after[maximal])
+
+
+def scanned(contexts: DataFrame, length: int, part: list[str], groups: bool, a_time: int = 5_000) -> DataFrame:
+    """Spans (or, with ``groups``, sets of contexts) of the repeats of all parts; contexts of a part meet in one task, some parts at a time.
+
+    All repeats of a context hold its anchor, so they overlap and their union is one span.
     """
-    stream = contexts.repartition("gram").sortWithinPartitions("gram")
+    stream = contexts.repartition(*part).sortWithinPartitions(*part)
 
     def solve(batch: pa.Table) -> pa.RecordBatch:
         data, offsets = common.text_buffer(batch.column("bytes"))
-        _, group = np.unique(batch.column("gram").to_numpy(), return_inverse=True)
-        near, far = anchored_repeats(data, offsets, batch.column("left").to_numpy().astype(np.int64), group, length)
+        keys = [batch.column(c).to_numpy() for c in part]
+        new = np.zeros(len(keys[0]), bool)
+        for k in keys:
+            new[1:] |= k[1:] != k[:-1]
+        found = repeat_groups(data, offsets, batch.column("left").to_numpy().astype(np.int64), np.cumsum(new), length)
+        if groups:
+            # A set is complete if one of its strings has this anchor and no other: it has it wherever it occurs.
+            near, far = (batch.column(c).to_numpy().astype(np.int64) for c in ("near", "far"))
+            one = found.rows[found.first] if len(found.first) else found.first
+            found.keep(np.maximum(length - found.after, near[one]) <= np.minimum(found.before, far[one]))
+            number, rows = found.members()
+            stamp = uuid.uuid4().hex
+            columns = [batch.column(c).combine_chunks().take(pa.array(rows)) for c in ("gram", "context")]
+            return pa.RecordBatch.from_arrays([pa.array([f"{stamp}-{i}" for i in number.tolist()], pa.string()), *columns, pa.array(found.before[number].astype(np.int32)), pa.array(found.after[number].astype(np.int32))], ["repeat", "gram", "context", "before", "after"])
+        far, near = found.spans(len(offsets) - 1)
         hit = np.flatnonzero(far >= 0)
         pos = batch.column("pos").to_numpy().astype(np.int64)[hit]
-        rows = pa.array(hit)
-        return pa.RecordBatch.from_arrays([batch.column("key").combine_chunks().take(rows), batch.column("doc_id").combine_chunks().take(rows), pa.array((pos - far[hit]).astype(np.int32)), pa.array((pos - near[hit] + length).astype(np.int32))], ["key", "doc_id", "lo", "hi"])
+        columns = [batch.column(c).combine_chunks().take(pa.array(hit)) for c in ("key", "doc_id")]
+        return pa.RecordBatch.from_arrays([*columns, pa.array((pos - far[hit]).astype(np.int32)), pa.array((pos + near[hit]).astype(np.int32))], ["key", "doc_id", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -280,77 +367,88 @@ def sorted_spans(contexts: DataFrame, length: int, a_time: int = 5_000) -> DataF
                 if count < a_time:
                     continue
                 table = pa.Table.from_batches(held)
-                gram = table.column("gram").to_numpy()
-                cut = int(np.searchsorted(gram, gram[-1]))  # the last anchor may go on
+                last = np.ones(len(table), bool)
+                for c in part:
+                    key = table.column(c).to_numpy()
+                    last &= key == key[-1]
+                cut = len(last) - int(last.sum())  # the last part may go on
                 if cut:
                     yield solve(table.slice(0, cut))
-                held, count = table.slice(cut).to_batches(), len(gram) - cut
+                held, count = table.slice(cut).to_batches(), len(last) - cut
         if count:
             yield solve(pa.Table.from_batches(held))
+        common.give_back()
+
+    return stream.mapInArrow(run, GROUP if groups else SPAN)
 
-    return stream.mapInArrow(run, SPAN)
 
+def dealt(contexts: DataFrame, length: int, single: bool) -> DataFrame:
+    """The contexts once for each range of string starts, with the key (range, part) of what contexts that share such a string have in common.
 
-def hot_spans(contexts: DataFrame, length: int) -> DataFrame:
-    """The same spans for anchors with many contexts, by counting ranges of strings and then single strings."""
+    With ``single`` the ranges are cut into their starts, and the contexts come without their bytes but with the string's place.
+    """
     reach = length - anch.GRAM
     edges = np.linspace(0, reach + 1, RANGES + 1).astype(int)
+    kept = [c for c in contexts.columns if c not in ("range", "part") and not (single and c in ("left", "bytes"))]
+    names = [*kept, *(["start", "lo", "hi"] if single else []), "range", "part"]
 
-    def parts(single: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in common.slices(batches, "bytes", SLICE):
-                data, offsets = common.text_buffer(batch.column(batch.schema.get_field_index("bytes")))
-                rolling, other = anch.Rolling(data), anch.Rolling(data, 1)
-                left = batch.column(batch.schema.get_field_index("left")).to_numpy().astype(np.int64)
-                size = np.diff(offsets)
-                n = batch.num_rows
-                low, high = np.maximum(0, left + length - size), np.minimum(reach, left)  # distances from string start to anchor
-                if single:
-                    own = batch.column(batch.schema.get_field_index("range")).to_numpy()
-                    row = np.repeat(np.arange(n), edges[own + 1] - edges[own])
-                    near = np.concatenate([np.arange(edges[r], edges[r + 1]) for r in own.tolist()]) if n else row
-                    far, tag = near, near
-                else:
-                    row = np.repeat(np.arange(n), RANGES)
-                    tag = np.tile(np.arange(RANGES), n)
-                    near, far = edges[tag], edges[tag + 1] - 1
-                near, far = np.maximum(near, low[row]), np.minimum(far, high[row])
-                good = near <= far
-                row, near, far, tag = row[good], near[good], far[good], tag[good]
-                a, b = offsets[row] + left[row] - far, offsets[row] + left[row] - near + length
-                shape = mixed((far * (4 * length) + near).astype(np.uint64))
-                take = pa.array(row)
-                pos = batch.column(batch.schema.get_field_index("pos")).to_numpy().astype(np.int64)[row]
-                columns = [batch.column(batch.schema.get_field_index(c)).take(take) for c in ("gram", "key", "doc_id", "pos")]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(tag.astype(np.int32)), pa.array((rolling.of(a, b) ^ shape).view(np.int64)), pa.array((other.of(a, b) + shape).view(np.int64)), pa.array((pos - far).astype(np.int32)), pa.array((pos - near + length).astype(np.int32))],
-                    ["gram", "key", "doc_id", "pos", "range", "s1", "s2", "lo", "hi"],
-                )
-
-        return run
-
-    schema = "gram bigint, key bigint, doc_id bigint, pos int, `range` int, s1 bigint, s2 bigint, lo int, hi int"
-    ranged = common.written(salted(contexts.mapInArrow(parts(False), schema)), "ranges")
-    tally = tallied(ranged, "gram", "range", "s1", "s2")
-    whole = ranged.join(tally.where("n > 1").select("gram", "range", "s1", "s2", F.explode("salts").alias("salt")), ["gram", "range", "s1", "s2", "salt"])
-    # One of each distinct range goes on: single ones to be judged, one of the repeated ones as their partner.
-    chosen = tally.select("gram", "range", F.col("first.key").alias("key"), F.col("first.pos").alias("pos"))
-    again = contexts.join(chosen, ["gram", "key", "pos"]).dropDuplicates(["gram", "key", "doc_id", "pos", "range"])
-    strings = common.written(salted(again.mapInArrow(parts(True), schema)), "strings")
-    tally = tallied(strings, "gram", "range", "s1", "s2").where("n > 1")
-    twice = strings.join(tally.select("gram", "range", "s1", "s2", F.explode("salts").alias("salt")), ["gram", "range", "s1", "s2", "salt"])
-    return whole.select("key", "doc_id", "lo", "hi").union(twice.select("key", "doc_id", "lo", "hi"))
-
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", most_contexts: int = 40_000) -> DataFrame:
-    """key, doc_id and the list of spans (byte offsets lo, hi) of repeated strings; documents without any are left out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, "bytes", SLICE):
+            column = lambda c: batch.column(batch.schema.get_field_index(c))
+            data, offsets = common.text_buffer(column("bytes"))
+            one, two = anch.Rolling(data), anch.Rolling(data, 1)
+            n, size = batch.num_rows, np.diff(offsets)
+            left = column("left").to_numpy().astype(np.int64)
+            if single:
+                own = column("range").to_numpy()
+                row = np.repeat(np.arange(n), edges[own + 1] - edges[own])
+                near = np.concatenate([np.arange(edges[r], edges[r + 1]) for r in own.tolist()]) if n else row
+                far = near
+            else:
+                row, near, far = np.repeat(np.arange(n), RANGES), np.tile(edges[:-1], n), np.tile(edges[1:] - 1, n)
+            # ``near`` bytes before the anchor and length - ``far`` from it are what all strings of the range have in common.
+            good = (left[row] >= near) & ((size - left)[row] >= length - far)
+            row, near, far = row[good], near[good], far[good]
+            a, b = offsets[row] + left[row] - near, offsets[row] + left[row] + length - far
+            part = mixed(one.of(a, b) ^ mixed(two.of(a, b) + (near * 1009 + far).astype(np.uint64)))
+            take = pa.array(row)
+            out = [column(c).take(take) for c in kept]
+            if single:
+                pos = column("pos").to_numpy().astype(np.int64)[row]
+                out += [pa.array(near.astype(np.int32)), pa.array((pos - near).astype(np.int32)), pa.array((pos - near + length).astype(np.int32)), column("range").take(take)]
+            else:
+                out.append(pa.array(np.searchsorted(edges, near, "right").astype(np.int32) - 1))
+            yield pa.RecordBatch.from_arrays([*out, pa.array(part.view(np.int64))], names)
+
+    return contexts.mapInArrow(run, kinds_of(names))
+
+
+PART = ["gram", "range", "part"]
+
+
+def split_scans(contexts: DataFrame, length: int, most_contexts: int, groups: bool) -> DataFrame:
+    """``scanned`` for anchors with too many contexts, by the module's step 4."""
+    parts = common.written(dealt(contexts, length, False), "parts")
+    large = common.written(parts.groupBy(*PART).count().where(F.col("count") > most_contexts).select(*PART), "large")
+    out = scanned(parts.join(large, PART, "anti"), length, PART, groups)
+    strings = common.written(salted(dealt(parts.join(large, PART).select(*contexts.columns, "range"), length, True)), "strings")
+    tally = tallied(strings, *PART).where("n > 1").select(*PART, F.explode("salts").alias("salt"))
+    twice = strings.join(tally, [*PART, "salt"])
+    if groups:
+        name = F.concat_ws("-", F.lit("string"), *(F.col(c).cast("string") for c in PART))
+        return out.union(twice.where("start BETWEEN near AND far").select(name, "gram", "context", "start", F.lit(length) - F.col("start")))
+    return out.union(twice.select("key", "doc_id", "lo", "hi"))
+
+
+def repeats(docs: DataFrame, length: int, id_col: str, text_col: str, most_contexts: int, groups: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Occurrences of repeated anchors, the tally of their contexts, and the spans or sets that the scans find."""
     rows = keyed(docs, id_col, text_col)
     places = salted(occurrences(rows, bit_lookup(repeated_anchors(rows, length), "gram"), length))
     tally = tallied(places, "gram", "context")
-    whole = places.join(tally.where("n > 1").select("gram", "context", F.explode("salts").alias("salt")), ["gram", "context", "salt"]).select("key", "doc_id", "lo", "hi")
-    groups = tally.groupBy("gram").agg(F.count("*").alias("contexts"), F.sum((F.col("n") == 1).cast("int")).alias("single")).where("contexts > 1 AND single > 0")
-    groups = common.written(groups, "groups")
-    open_grams = common.hash_filter(groups.select("gram"), "gram")
+    open_ = tally.groupBy("gram").agg(F.count("*").alias("contexts"), F.sum((F.col("n") == 1).cast("int")).alias("single")).where("contexts > 1")
+    # Where only spans are wanted, anchors whose contexts are all repeated are done.
+    open_ = common.written(open_ if groups else open_.where("single > 0"), "groups")
+    open_grams = common.hash_filter(open_.select("gram"), "gram")
     at = tally.where(open_grams(F.col("gram"))).select("first.key", "first.pos")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,27 +456,55 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([pa.array(place_of(batch.column(0).to_numpy(), batch.column(1).to_numpy()))], ["place"])
 
     chosen = common.written(at.mapInArrow(place, "place bigint"), "places")
-    contexts = context_rows(rows, bit_lookup(chosen, "place"), length)
-    hot = groups.where(F.col("contexts") > most_contexts).select("gram")
+    contexts = context_rows(rows, bit_lookup(chosen, "place"), length, groups)
+    hot = open_.where(F.col("contexts") > most_contexts).select("gram")
     if hot.limit(1).count():
         many = common.hash_filter(hot, "gram")
-        spans = sorted_spans(contexts.where(~many(F.col("gram"))), length).union(hot_spans(common.written(contexts.where(many(F.col("gram"))), "hot"), length))
-    else:
-        spans = sorted_spans(contexts, length)
-    all_spans = whole.union(spans).distinct()
+        found = scanned(contexts.where(~many(F.col("gram"))), length, ["gram"], groups)
+        return places, tally, found.union(split_scans(common.written(contexts.where(many(F.col("gram"))), "hot"), length, most_contexts, groups))
+    return places, tally, scanned(contexts, length, ["gram"], groups)
+
+
+def whole_contexts(places: DataFrame, tally: DataFrame) -> DataFrame:
+    return places.join(tally.where("n > 1").select("gram", "context", F.explode("salts").alias("salt")), ["gram", "context", "salt"])
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", most_contexts: int = MOST_CONTEXTS) -> DataFrame:
+    """key, doc_id and the list of spans (byte offsets lo, hi) of repeated strings; documents without any are left out."""
+    places, tally, spans = repeats(docs, length, id_col, text_col, most_contexts, False)
+    all_spans = whole_contexts(places, tally).select("key", "doc_id", "lo", "hi").union(spans).distinct()
     return common.written(all_spans.groupBy("key", "doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``docs`` with __text and __spans (null where there are none); only rows that may have some are shuffled."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.withColumns({"__key": F.xxhash64(F.col(id_col), text), "__text": text})
+def maximal_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", most_contexts: int = MOST_CONTEXTS) -> DataFrame:
+    """repeat, doc_id, lo, hi: the maximal repeats around each anchor, with all their occurrences (byte offsets).
+
+    A repeat is seen from its anchors, as far as the strings of ``length`` bytes that hold the anchor
+    reach: one that is longer comes in overlapping pieces, one for each of its anchors.  In parts
+    that are still too large to be scanned (step 4), repeats are the strings of ``length`` bytes.
+    """
+    places, tally, sets = repeats(docs, length, id_col, text_col, most_contexts, True)
+    sets = common.written(sets, "sets")
+    salts = tally.select("gram", "context", F.explode("salts").alias("salt"))
+    found = places.join(sets.join(salts, ["gram", "context"]), ["gram", "context", "salt"])
+    found = found.select("repeat", "doc_id", (F.col("pos") - F.col("before")).alias("lo"), (F.col("pos") + F.col("after")).alias("hi"))
+    name = F.concat_ws("-", F.lit("context"), F.col("gram").cast("string"), F.col("context").cast("string"))
+    # A context found twice is a repeat of its own unless a set has all of its bytes in other contexts too.
+    whole = whole_contexts(places, tally).withColumns({"before": F.col("pos") - F.col("lo"), "after": F.col("hi") - F.col("pos")})
+    return found.union(whole.join(sets.select("gram", "context", "before", "after").distinct(), ["gram", "context", "before", "after"], "anti").select(name, "doc_id", "lo", "hi"))
+
+
+def with_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """The rows of ``docs`` with two more columns, text and spans (null where there are none), and the first one's name; only rows that may have some are shuffled."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    number = F.col(f"`{id_col}`").cast("bigint")
+    t, key, i, k, n, s = common.free(docs.columns, "text", "key", "id", "k", "n", "spans")
+    rows = docs.withColumns({t: text, key: F.xxhash64(number, text), i: number})
     likely = common.hash_filter(spans.select("key"), "key")
-    found = spans.toDF("__k", "__id", "__spans")
-    some = rows.where(likely(F.col("__key"))).join(found, (F.col("__key") == F.col("__k")) & F.col(id_col).cast("bigint").eqNullSafe(F.col("__id")), "left")
-    rest = rows.where(~likely(F.col("__key"))).withColumn("__spans", F.lit(None).cast(spans.schema["spans"].dataType))
-    names = [*(F.col(f"`{c}`") for c in docs.columns), F.col("__text"), F.col("__spans")]
-    return some.select(*names).union(rest.select(*names))
+    some = rows.where(likely(F.col(key))).join(spans.toDF(k, n, s), (F.col(key) == F.col(k)) & F.col(i).eqNullSafe(F.col(n)), "left")
+    rest = rows.where(~likely(F.col(key))).withColumn(s, F.lit(None).cast(spans.schema["spans"].dataType))
+    names = [*(F.col(f"`{c}`") for c in docs.columns), F.col(t), F.col(s)]
+    return some.select(*names).union(rest.select(*names)), t
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -399,13 +525,13 @@ def kept_bytes(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, data[at:]])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", most_contexts: int = 40_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row."""
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = with_spans(source, repeated_spans(source, length, "doc_id", "text", most_contexts), "doc_id", "text").select("doc_id", "__text", "__spans")
+    source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    rows, name = with_spans(source, repeated_spans(source, length, "doc_id", "text", most_contexts), "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "__text"):
+        for batch in common.slices(batches, name):
             out = []
             for data, spans in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
                 runs = merged(spans or [])
@@ -414,20 +540,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(next(columns), pa.int64()) for _ in range(3)), pa.array(next(columns))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return rows.drop("text").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """``docs`` with repeats cut out of the texts (and ``chars_col`` set anew where there is one).
 
     Bytes left of a cut character are dropped; a text that loses all its words
-    goes, one that had none stays.
+    goes, one that had none stays.  Nulls, empty texts and other columns stay as
+    they are, whatever the columns' names; repeated rows lose their text and go.
     """
-    rows = with_spans(docs, repeated_spans(docs, length, id_col, text_col), id_col, text_col)
+    rows, name = with_spans(docs, repeated_spans(docs, length, id_col, text_col), id_col, text_col)
     at, size = docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col in docs.columns else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "__text"):
+        for batch in common.slices(batches, name):
             hit = [i for i, s in enumerate(batch.column(batch.num_columns - 1).to_pylist()) if s]
             columns = batch.columns[:-2]
             if hit:

@@ -215,7 +215,7 @@ def brute(rows, length):
     return out
 
 
-@pytest.mark.parametrize("most", [40_000, 1])
+@pytest.mark.parametrize("most", [10_000, 1])
 def test_repeated_passages(spark, most):
     df = messy(spark)
     got = Counter(tuple(r) for r in substring_dedup.remove_repeats(df, most_contexts=most).collect())
@@ -223,7 +223,7 @@ def test_repeated_passages(spark, most):
     assert substring_dedup.remove_repeats(nothing(spark)).count() == 0
 
 
-@pytest.mark.parametrize("most", [40_000, 2])
+@pytest.mark.parametrize("most", [10_000, 2])
 def test_ends_of_repeats(spark, most):
     """Overlapping, nested and periodic repeats with all kinds of ends."""
     rng = random.Random(8)
@@ -242,17 +242,91 @@ def test_ends_of_repeats(spark, most):
     assert got == brute(rows, 200)
 
 
-def test_groups_agree_with_spans():
+@pytest.mark.parametrize("most", [10_000, 2])
+def test_maximal_repeats(spark, most):
+    """Each repeat has all places of its string, can't be extended, and together they are the bytes that go."""
     rng = random.Random(5)
-    core = bytes(rng.choice(b"ab") for _ in range(60))
+    base = ["".join(rng.choice("abcd") for _ in range(500)) for _ in range(2)]
+    rows = []
+    for i in range(24):
+        s = rng.randrange(0, 200)
+        rows.append((i, "".join(rng.choice("xyz") for _ in range(rng.randrange(0, 30))) + rng.choice(base)[s : s + rng.randrange(150, 420)] + rng.choice("xyz")))
+    texts = {k: t.encode() for k, t in rows}
+    groups = defaultdict(set)
+    for r in substring_dedup.maximal_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), most_contexts=most).collect():
+        assert (r["doc_id"], r["lo"], r["hi"]) not in groups[r["repeat"]]
+        groups[r["repeat"]].add((r["doc_id"], r["lo"], r["hi"]))
+    marks = {k: bytearray(len(t)) for k, t in texts.items()}
+    for places in groups.values():
+        strings = {texts[k][a:b] for k, a, b in places}
+        assert len(strings) == 1 and len(places) > 1
+        one = next(iter(strings))
+        assert len(one) >= 200
+        assert {(k, a) for k, a, _ in places} == {(k, i) for k, t in texts.items() for i in range(len(t)) if t.startswith(one, i)}
+        if len(one) < 350 and most > 2:
+            assert len({texts[k][a - 1 : a] or k for k, a, _ in places}) > 1 or max(b - a for _, a, b in places) >= 200
+        for k, a, b in places:
+            marks[k][a:b] = b"\1" * (b - a)
+    got = Counter((k, sum(m)) for k, m in marks.items())
+    assert got == Counter((k[0], k[2]) for k in brute(rows, 200).elements())
+
+
+def test_groups_are_maximal():
+    """Against all pairs of contexts: what two of them share around the anchor, as far as possible, is a repeat, and there is no other."""
+    rng = random.Random(5)
+    core = bytes(rng.choice(b"ab") for _ in range(150))
     texts, left = [], []
-    for _ in range(12):
+    for _ in range(14):
         n = rng.randrange(0, 20)
-        texts.append(bytes(rng.choice(b"cd") for _ in range(n)) + core[rng.randrange(0, 3) :] + bytes(rng.choice(b"cd") for _ in range(rng.randrange(0, 20))))
-        left.append(n + 20)
+        a, b = rng.randrange(30, 60), rng.randrange(10, 40)
+        text = bytes(rng.choice(b"cd") for _ in range(n)) + core[a : len(core) - b] + bytes(rng.choice(b"cd") for _ in range(rng.randrange(0, 20)))
+        anchor = n + 60 - a
+        left.append(min(anchor, 30))
+        texts.append(text[anchor - left[-1] : anchor + 80])
     data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    sa, a, b, deep = substring_dedup.repeat_groups(data, offsets, np.array(left), np.zeros(12, np.int64), 24)
-    assert len(a) and all(len({bytes(data[p : p + d]) for p in sa[x : y + 1]}) == 1 for x, y, d in zip(a, b, deep))
+    length = 80
+
+    def shared(rows):
+        before = min(left[i] for i in rows)
+        after = min(len(texts[i]) - left[i] for i in rows)
+        x = next((k for k in range(before) if len({texts[i][left[i] - 1 - k] for i in rows}) > 1), before)
+        y = next((k for k in range(min(after, length)) if len({texts[i][left[i] + k] for i in rows}) > 1), min(after, length))
+        return min(x, length - 50), y
+
+    want = set()
+    for i in range(len(texts)):
+        for j in range(i):
+            x, y = shared([i, j])
+            if x + y >= length:
+                rows = [k for k in range(len(texts)) if all(u >= v for u, v in zip(shared([i, k]), (x, y)))]
+                want.add((frozenset(rows), *shared(rows)))
+    got = substring_dedup.repeat_groups(data, offsets, np.array(left), np.zeros(len(texts), np.int64), length)
+    number, rows = got.members()
+    sets = defaultdict(set)
+    for g, r in zip(number.tolist(), rows.tolist()):
+        sets[g].add(r)
+    found = [(frozenset(sets[g]), int(got.before[g]), int(got.after[g])) for g in sets]
+    assert len(found) == len(set(found)) and set(found) == want and len(want) > 5
+    far, near = got.spans(len(texts))
+    for i in range(len(texts)):
+        mine = [(x, y) for rows, x, y in want if i in rows]
+        assert (far[i], near[i]) == ((max(x for x, _ in mine), max(y for _, y in mine)) if mine else (-1, -1))
+
+
+def test_windows_of_a_long_text():
+    """Anchors and contexts of a text don't depend on the windows it is read in."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    text = "".join(rng.choice("ab ") for _ in range(9000)) + "ab" * 2000 + "é" * 500
+    batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([2], pa.int64()), pa.array([text])], ["key", "doc_id", "text"])
+
+    def all_of(window):
+        found = list(substring_dedup.anchored(iter([batch]), 200, window))
+        assert window > 10**6 or len(found) > 10
+        return [(int(p), int(g), int(c), int(f.base + a), int(f.base + b)) for f in found for p, g, c, a, b in zip(f.pos, f.gram, f.contexts(), f.low, f.high)]
+
+    assert all_of(777) == all_of(1 << 20)
 
 
 def test_cut_texts(spark):
