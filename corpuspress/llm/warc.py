@@ -20,8 +20,9 @@ one and read back as null; a null or odd URL is left out or percent-encoded;
 rows with the smallest page id of their payload are all responses (ties, repeated
 rows), the others revisit it; without any non-null id among equal payloads all
 are responses, and beside a non-null one a null id revisits it; a damaged record
-ends its file's chain; an empty table gives an empty result; other columns are
-not read.
+ends its file's chain; a very long header or payload is read as far as it goes (one
+record is held at a time, beside its cut); an empty table gives an empty result;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ from pyspark.sql import functions as F
 from . import common
 
 SALTS = 64
+#: Tasks of the scan to a core of the cluster.
+MOST_WAVES = 32
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 RECORD = "path string, cut bigint, off bigint, next bigint, `exit` bigint, page_id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string"
@@ -89,7 +92,7 @@ def with_originals(pages: DataFrame, id_col: str, url_col: str | None, payload_c
     return joined.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
-def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str | None = "url", payload_col: str = "html", min_bytes: int = 0, gzip: bool = True, file_bytes: int = 256 << 20) -> DataFrame:
+def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str | None = "url", payload_col: str = "html", min_bytes: int = 0, gzip: bool = False, file_bytes: int = 256 << 20) -> DataFrame:
     """Write the archives; returns path, size, records of each file."""
     rows = with_originals(pages, id_col, url_col, payload_col, min_bytes).select(F.col("page_id").cast("string"), "url", "payload", F.col("refers_to").cast("string"))
 
@@ -131,9 +134,17 @@ class Cut:
         """At least the bytes before relative offset ``end``, as far as the file has them."""
         have = len(self.data)
         if end > have and self.start + have < self.size:
-            self.data += self.file.read_at(min(max(end - have, 1 << 20), self.size - self.start - have), self.start + have)
+            self.data += self.file.read_at(min(max(end - have, have // 2, 1 << 20), self.size - self.start - have), self.start + have)
         return self.data
 
+    def find(self, what: bytes, at: int) -> int:
+        """Where ``what`` is found next, -1 if nowhere in the file.  Each record ends with a blank line, so in an archive no header is looked for beyond the record it stands in."""
+        step = 1 << 16
+        while (found := self.data.find(what, at)) < 0 and self.start + len(self.data) < self.size:
+            at, step = max(at, len(self.data) - len(what) + 1), 2 * step
+            self.upto(len(self.data) + step)
+        return found
+
 
 def parse(data: bytes) -> dict | None:
     """Fields of a whole record, or None if it isn't one."""
@@ -195,9 +206,8 @@ def candidates(file: pa.NativeFile, start: int, end: int, gzip: bool) -> Iterato
             if found is None or found["end"] != len(body):
                 continue
         else:
-            limit = 1 << 16
-            head = cut.upto(at + limit)[at : at + limit]
-            found = parse(head)
+            stop = cut.find(b"\r\n\r\n", at)
+            found = parse(cut.data[at : stop + 4]) if stop >= 0 else None
             if found is None or cut.start + at + found["end"] > cut.size:
                 continue
             body = cut.upto(at + found["end"])[at : at + found["end"]]
@@ -208,9 +218,12 @@ def candidates(file: pa.NativeFile, start: int, end: int, gzip: bool) -> Iterato
 
 
 def read_warc(spark: SparkSession, files: DataFrame, cut_bytes: int = 16 << 20) -> DataFrame:
-    """The records of the archives (path, size) that their chains reach from offset 0."""
+    """The records of the archives (path, size) that their chains reach from offset 0.
+
+    A task takes as many cuts as it must, one at a time, so tasks don't grow in number with the archives.
+    """
     cuts = files.select("path", "size", F.explode(F.expr(f"sequence(0L, greatest(size - 1, 0L), {cut_bytes}L)")).alias("start"))
-    n = max(1, cuts.count())
+    n = max(1, min(cuts.count(), MOST_WAVES * spark.sparkContext.defaultParallelism))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,6 +278,7 @@ def reachable_entries(seen: DataFrame, files: DataFrame, cut_bytes: int) -> Data
 
 
 def op2_warc_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through plain archives, whose payloads show all the magic they hold."""
     pages = common.read(spark, sf_dir, "pages")
     files = write_warc(pages, common.shared_dir(spark, "warc"))
     kind = pages.schema["page_id"].dataType

@@ -43,6 +43,30 @@ def test_archives(spark, gzip, cut):
     assert got == want
 
 
+@pytest.mark.parametrize("gzip", [True, False])
+def test_headers_of_any_length(spark, gzip):
+    """A header of over 64 KiB is a record, and so is all that follows it."""
+    rows = [(1, "http://a/", "<p>a</p>"), (2, "http://b/" + "é" * 30_000, "<p>b</p>"), (3, "http://c/", "<p>c</p>")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    for cut in (1000, 16 << 20):
+        files = warc.write_warc(df, common.shared_dir(spark, "warc"), gzip=gzip)
+        assert {r["page_id"] for r in warc.read_warc(spark, files, cut).collect()} == {"1", "2", "3"}
+
+
+def test_the_query_rejects_magic(spark, tmp_path):
+    """Records inside payloads look like records to the query's own archives, and none of them comes back."""
+    rows = [(r["page_id"], r["url"], r["html"]) for r in pages(spark).collect()]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    seen = []
+    own = warc.reachable_entries
+    try:
+        warc.reachable_entries = lambda found, *a: (seen.append(found.count()), own(found, *a))[1]
+        got = warc.op2_warc_boundary_chain(spark, str(tmp_path)).count()
+    finally:
+        warc.reachable_entries = own
+    assert got == len(rows) and seen[0] == got + 3
+
+
 def test_no_pages(spark):
     files = warc.write_warc(pages(spark).limit(0), common.shared_dir(spark, "warc"))
     assert warc.read_warc(spark, files).count() == 0
@@ -61,30 +85,60 @@ def test_archives_sql(spark):
 
 
 def test_mixing(spark):
-    df = messy(spark)
-    rows = mixing.weighted(mixing.featured(df)).collect()
-    assert len(rows) == df.count() and all(0 <= r["__probability"] <= 1 for r in rows)
-    cells = [tuple(r) for r in mixing.cells_of(mixing.featured(df)).collect()]
-    local = {r[:3]: r[3:] for r in mixing.fit_local(cells, None, 25, 0.5)}
-    spread = {(r["source"], r["lang"], r["topic"]): (r["weight"], r["probability"]) for r in mixing.fit_spark(mixing.cells_of(mixing.featured(df)), None, 25, 0.5).collect()}
-    assert set(local) == set(spread) and all(np.allclose(local[k], spread[k], rtol=1e-9) for k in local)
-    few = mixing.weighted(mixing.featured(df), most_cells=1, sweeps=2).collect()
-    assert len(few) == len(rows)
-    assert mixing.weighted(mixing.featured(nothing(spark))).count() == 0
-
-
-def test_marginals_are_met():
+    df = messy(spark).withColumn("mix", F.lit("mine")).withColumn("fit", F.lit("mine"))
+    features, mix = mixing.featured(df)
+    rows = mixing.weighted(features, mix).collect()
+    assert len(rows) == df.count() and mix == "_mix" and all(r["mix"] == r["fit"] == "mine" for r in rows)
+    assert all(0 <= r[mix]["probability"] <= 1 and r[mix]["sampled"] == (r[mix]["u"] < r[mix]["probability"]) for r in rows)
+    assert mixing.sample(df).columns == df.columns
+    empty, mix = mixing.featured(nothing(spark))
+    assert mixing.weighted(empty, mix).count() == 0
+
+
+def test_many_cells(spark, monkeypatch):
+    """The fit on the driver and the one by aggregations are the same, sweep for sweep."""
+    monkeypatch.setattr(mixing, "MOST_SWEEPS", 3)
+    features, mix = mixing.featured(messy(spark))
+    cells = [tuple(r) for r in mixing.cells_of(features, mix).collect()]
+    local = {r[:3]: r[3:] for r in mixing.fit_local(cells, None, 0.5, bounded=False)}
+    few = {tuple(r[mix][d] for d in mixing.DIMS): (r[mix]["weight"], r[mix]["probability"]) for r in mixing.weighted(features, mix, fraction=0.5, bounded=False, most_cells=1).collect()}
+    assert few.keys() == local.keys() and all(abs(few[k][0] - w) < 1e-9 and abs(few[k][1] - min(1, w * f)) < 1e-9 for k, (w, f) in local.items())
+    rows = [("a", "x", "p", 300.0), ("a", "y", "p", 100.0), ("b", "x", "p", 100.0), ("b", "y", "q", 80.0), ("a", "y", "q", 30.0)]
+    wanted = {"source": {"a": 1, "b": 1}, "lang": {"x": 1, "y": 1}, "topic": {"p": 4, "q": 1}}
+    local = {r[:3]: r[3:] for r in mixing.fit_local(rows, wanted, 0.3)}
+    spread = {tuple(r)[:3]: tuple(r)[3:] for r in mixing.fit_spark(spark.createDataFrame(rows, "source string, lang string, topic string, tokens double"), wanted, 0.3).collect()}
+    assert local.keys() == spread.keys() and all(np.allclose(local[k], spread[k], rtol=1e-9) for k in local)
+
+
+def marginals(got, n, total, value):
+    return {(dim, v): sum(n[r[:3]] * value(r) for r in got if r[d] == v) / total for d, dim in enumerate(mixing.DIMS) for v in {r[d] for r in got}}
+
+
+@pytest.mark.parametrize("fraction", [0.1, 0.4, 0.95])
+def test_marginals_are_met(fraction):
+    """At any fraction that is asked for the expected sample has the target shares, and is as large as said."""
     rng = random.Random(1)
     cells = [(s, l, t, float(rng.randrange(1, 500))) for s in "abc" for l in "xy" for t in "pq"]
     wanted = {"source": {"a": 1, "b": 1, "c": 2}, "lang": {"x": 3, "y": 1}, "topic": {"p": 1, "q": 1}}
-    got = mixing.fit_local(cells, wanted, 200, 0.4)
+    got = mixing.fit_local(cells, wanted, fraction)
     n = {c[:3]: c[3] for c in cells}
-    total = sum(n.values())
-    for d, dim in enumerate(mixing.DIMS):
-        for v, share in wanted[dim].items():
-            have = sum(n[r[:3]] * r[3] for r in got if r[d] == v) / total
-            assert abs(have - share / sum(wanted[dim].values())) < 1e-6
-    assert abs(sum(n[r[:3]] * r[4] for r in got) / total - 0.4) < 1e-9
+    total, least = sum(n.values()), got[0][4]
+    assert all(r[4] == least <= fraction and r[3] * least <= 1 + 1e-12 for r in got)
+    have = marginals(got, n, total, lambda r: r[3])
+    for dim, shares in wanted.items():
+        for v, share in shares.items():
+            assert abs(have[dim, v] - share / sum(shares.values())) < 1e-6
+    expected = marginals(got, n, total * least, lambda r: min(1.0, r[3] * least))
+    assert all(abs(expected[k] - x) < 1e-9 for k, x in have.items())
+    # The fullest value allows so much: a value's share of the sample can't be more than all it has.
+    room = min(sum(c[3] for c in cells if c[d] == v) / total / (w / sum(wanted[dim].values())) for d, dim in enumerate(mixing.DIMS) for v, w in wanted[dim].items())
+    assert least == fraction if fraction < 0.2 else least <= room + 1e-9
+
+
+def test_targets_without_tokens():
+    """A target that no weight meets: what can be met is, and nothing runs on."""
+    got = mixing.fit_local([("a", "x", "p", 100.0), ("b", "x", "p", 0.0), ("b", "y", "p", 50.0)], {"source": {"a": 1, "b": 1}, "lang": {"x": 9, "y": 1}}, 0.5)
+    assert len(got) == 3 and all(np.isfinite(r[3]) for r in got)
 
 
 def test_mixing_sql(spark):
@@ -95,26 +149,30 @@ def test_marginals_of_the_query_and_of_repeated_rows(spark):
     sf01 = "/root/testdata/sf0.01"
     rows = mixing.op3_mixing(spark, sf01).collect()
     sums = {d: Counter() for d in mixing.DIMS}
-    raked = {d: Counter() for d in mixing.DIMS}
+    expected = {d: Counter() for d in mixing.DIMS}
     for r in rows:
         for d in mixing.DIMS:
             sums[d][r[d]] += r["n_tokens"]
-            raked[d][r[d]] += r["n_tokens"] * r["weight"]
+            expected[d][r[d]] += r["n_tokens"] * r["probability"]
     aims, total = mixing.targets(sums), sum(r["n_tokens"] for r in rows)
-    docs = mixing.featured(common.read(spark, sf01, "documents")).select("doc_id", *(f"__{d}" for d in mixing.DIMS), "__tokens", "__u")
+    for d in mixing.DIMS:
+        for v, aim in aims[d].items():
+            assert abs(expected[d][v] / sum(expected[d].values()) - aim) < 1e-5
+    assert abs(sum(expected["lang"].values()) / total - mixing.FRACTION) < 1e-5
+    features, mix = mixing.featured(common.read(spark, sf01, "documents").select("doc_id", "text", "source", "lang"))
+    report = {(r["dim"], r["value"]): r for r in mixing.shares(mixing.weighted(features, mix), mix).collect()}
+    assert all(abs(report[d, v]["expected"] - aim) < 1e-5 and abs(report[d, v]["natural"] - sums[d][v] / total) < 1e-9 for d in mixing.DIMS for v, aim in aims[d].items())
     for fraction in (0.8, 0.9):
-        got = mixing.repeated(docs, fraction=fraction).collect()
-        kept = sum(r["__tokens"] for r in got)
+        got = mixing.repeated(features, mix, fraction=fraction).collect()
+        kept = sum(r[mix]["tokens"] for r in got)
         assert abs(kept / total - fraction) < 0.03
         for d in mixing.DIMS:
             drawn = Counter()
             for r in got:
-                drawn[r[f"__{d}"]] += r["__tokens"]
+                drawn[r[mix][d]] += r[mix]["tokens"]
             for v, aim in aims[d].items():
-                assert abs(raked[d][v] / total - aim) < 1e-4
                 assert abs(drawn[v] / kept - aim) < 0.025, (fraction, d, v)
-        each = Counter(r["doc_id"] for r in got)
-        assert max(each.values()) > 1 and all(r["__copies"] == each[r["doc_id"]] and abs(r["__copies"] - fraction * r["__weight"]) < 1 for r in got)
+        assert max(Counter(r["doc_id"] for r in got).values()) > 1
 
 
 def test_token_trees():
