@@ -10,16 +10,23 @@ and the exact code length of a whole text is a sum of table look-ups.  The
 language with the shortest code wins.
 
 Training counts four-byte strings over all training texts: tasks pre-aggregate
-in numpy, Spark adds the counts up, so what is moved follows the input.  The
-frozen trees keep the ``max_nodes`` most frequent strings (shared evenly by the
-languages, at most ``max_langs`` of them, by volume), which bounds the model that
-is broadcast whatever the corpus.  Texts are folded to lower case (ASCII and
-Latin-1) first and start after three newlines.
+in numpy, Spark adds the counts up, so what is moved follows the input.  The counts
+of shorter strings, and the totals of contexts, are sums over all of them.  Nodes
+for single strings are kept for the ``max_nodes`` most frequent strings of each
+length, whatever their language, which bounds the model that is broadcast: up to
+that number (327,192 strings of four bytes in 0.5 GB of texts in four languages)
+every string is a node and the code lengths are those of the full statistics.
+Beyond it, a string that is too rare is coded like one never seen there: by the
+escape of its context, with the context's true counts, and in the next shorter
+context.  The number of languages has no bound of its own.  Texts are folded to
+lower case (ASCII and Latin-1) first and start after three newlines.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, and
 so is every text if nothing was learned; null languages teach nothing; rows with
 a null id are training rows; rows that repeat, or share an id, are judged each on
-its own; ties go to the language that sorts first; other columns are not read.
+its own; ties go to the language that sorts first; a very long text is one row of
+one batch (some 40 bytes of memory a byte); an empty table gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -64,7 +71,7 @@ class Index:
     """Open addressing: places of known numbers in an array, looked up in bulk."""
 
     def __init__(self, codes: np.ndarray):
-        self.bits = max(4, int(len(codes) * 4).bit_length())
+        self.bits = max(4, int(len(codes) * 2).bit_length())
         self.keys = np.zeros(1 << self.bits, np.uint32)
         self.values = np.full(1 << self.bits, -1, np.int32)
         left = np.arange(len(codes))
@@ -93,71 +100,89 @@ class Index:
         return out
 
 
-def escape_costs(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts (the codes without their last byte), bits of an escape, bits of each code's symbol."""
-    context = codes >> np.uint32(8)
-    known, at = np.unique(context, return_inverse=True)
-    total, distinct = np.bincount(at, counts, len(known)), np.bincount(at, minlength=len(known))
-    return known, np.log2((total + distinct) / np.maximum(distinct, 1)), np.log2((total + distinct)[at] / counts)
+class Tree:
+    """The frozen tree of one language: bits of each symbol in each context that has it, and of the escape from each context.
+
+    ``levels``: for strings of 4, 3 and 2 bytes the known strings, their counts, and the contexts (the
+    strings without their last byte) with total and number of distinct symbols; ``ones``: counts of bytes.
+    """
+
+    def __init__(self, levels: list[tuple], ones: np.ndarray):
+        self.tables = []
+        for codes, counts, contexts, totals, distinct in levels:
+            all_ = totals + distinct
+            at = np.searchsorted(contexts, codes >> np.uint32(8))
+            self.tables.append((codes, np.log2(all_[at] / counts).astype(np.float32), contexts, np.log2(all_ / distinct).astype(np.float32)))
+        known = np.flatnonzero(ones)
+        total = ones.sum() + len(known)
+        # The last escape leads to a byte as likely as any other.
+        self.bits1 = np.full(256, 8.0 + (np.log2(total / len(known)) if len(known) else 0.0))
+        self.bits1[known] = np.log2(total / ones[known])
+
+    def bits(self, codes: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each four, given the three before it."""
+        out, left = np.zeros(len(codes)), np.arange(len(codes))
+        for (known, bits, contexts, escapes), mask in zip(self.tables, (0xFFFFFFFF, 0xFFFFFF, 0xFFFF)):
+            own = codes[left] & np.uint32(mask)
+            at, found = lookup(known, own)
+            out[left[found]] += bits[at[found]]
+            left, own = left[~found], own[~found]
+            at, found = lookup(contexts, own >> np.uint32(8))
+            out[left[found]] += escapes[at[found]]
+        out[left] += self.bits1[codes[left] & np.uint32(0xFF)]
+        return out
+
+
+def tree_of(codes: np.ndarray, counts: np.ndarray) -> Tree:
+    """The tree of all counts of four-byte strings (sorted), with nothing left out."""
+    levels = []
+    for mask in (0xFFFFFFFF, 0xFFFFFF, 0xFFFF, 0xFF):
+        codes, at = np.unique(codes & np.uint32(mask), return_inverse=True)
+        counts = np.bincount(at, counts, len(codes))
+        contexts, at = np.unique(codes >> np.uint32(8), return_inverse=True)
+        levels.append((codes, counts, contexts, np.bincount(at, counts, len(contexts)), np.bincount(at, minlength=len(contexts)).astype(float)))
+    return Tree(levels[:3], np.bincount(levels[3][0], levels[3][1], 256))
+
+
+def lookup(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the wanted numbers among sorted ones, and whether they are there."""
+    if not len(known):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return at, known[at] == wanted
 
 
 class Trees:
-    """Frozen trees of all languages as tables of code lengths in bits."""
-
-    def __init__(self, langs: list[str], codes: list[np.ndarray], counts: list[np.ndarray]):
-        self.langs, k = langs, len(langs)
-        self.codes4 = np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.uint32)
-        self.codes3 = np.unique(self.codes4 & np.uint32(0xFFFFFF))
-        self.context3 = np.unique(self.codes4 >> np.uint32(8))
-        self.cost4, self.cost3 = np.zeros((k, len(self.codes4))), np.zeros((k, len(self.codes3)))
-        self.escape3, self.escape2, self.cost2 = np.zeros((k, len(self.context3))), np.zeros((k, 1 << 16)), np.zeros((k, 1 << 16))
-        for i, (c, n) in enumerate(zip(codes, counts)):
-            n = n.astype(float)
-            levels = [(c, n)]
-            for mask in (0xFFFFFF, 0xFFFF, 0xFF):
-                short, at = np.unique(c & np.uint32(mask), return_inverse=True)
-                levels.append((short, np.bincount(at, n, len(short))))
-            one, ones = levels[3]
-            cost1 = np.full(256, 8.0 + np.log2((ones.sum() + len(one)) / len(one)))
-            cost1[one] = np.log2((ones.sum() + len(one)) / ones)
-            two, twos = levels[2]
-            known, escape, bits = escape_costs(two, twos)
-            first = np.zeros(256)
-            first[known] = escape
-            self.cost2[i] = (first[:, None] + cost1[None, :]).ravel()
-            self.cost2[i, two] = bits
-            three, threes = levels[1]
-            known, escape, bits = escape_costs(three, threes)
-            self.escape2[i, known] = escape
-            self.cost3[i] = self.escape2[i, self.codes3 >> np.uint32(8)] + self.cost2[i, self.codes3 & np.uint32(0xFFFF)]
-            self.cost3[i, np.searchsorted(self.codes3, three)] = bits
-            known, escape, bits = escape_costs(c, n)
-            self.escape3[i, np.searchsorted(self.context3, known)] = escape
-            self.cost4[i] = self.escape3[i, np.searchsorted(self.context3, self.codes4 >> np.uint32(8))] + self.cost3[i, np.searchsorted(self.codes3, self.codes4 & np.uint32(0xFFFFFF))]
-            self.cost4[i, np.searchsorted(self.codes4, c)] = bits
-        self.index: tuple[Index, Index, Index] | None = None
+    """The frozen trees of all languages."""
+
+    def __init__(self, langs: list[str], trees: list[Tree]):
+        self.langs, self.trees = langs, trees
+        self.known = np.unique(np.concatenate([t.tables[0][0] for t in trees])) if trees else np.zeros(0, np.uint32)
+        self.index: Index | None = None
 
     def bits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code length of each text in each language: texts x languages."""
         if self.index is None:
-            self.index = Index(self.codes4), Index(self.codes3), Index(self.context3)
+            self.index = Index(self.known)
         n, k = len(offsets) - 1, len(self.langs)
         out = np.zeros((n, k))
         if not len(data) or not k:
             return out
         code = fours(data, offsets)
-        at = self.index[0].find(code)
+        at = self.index.find(code).astype(np.int64)
         miss = np.flatnonzero(at < 0)
-        rare = code[miss]
-        at3, in3 = self.index[1].find(rare & np.uint32(0xFFFFFF)), self.index[2].find(rare >> np.uint32(8))
+        rare, again = np.unique(code[miss], return_inverse=True)
+        at[miss] = len(self.known) + again
+        # Each distinct string of the batch is coded once a language.
+        used = np.zeros(len(self.known) + len(rare), bool)
+        used[at] = True
+        number = np.cumsum(used) - 1
+        mine = np.flatnonzero(used[: len(self.known)])
+        distinct = np.concatenate([self.known[mine], rare])
+        at = number[at]
         some = np.flatnonzero(np.diff(offsets) > 0)
-        for i in range(k):
-            cost = self.cost4[i][at]
-            if len(miss):
-                low = self.escape2[i][(rare >> np.uint32(8)) & np.uint32(0xFFFF)] + self.cost2[i][rare & np.uint32(0xFFFF)]
-                low = np.where(at3 >= 0, self.cost3[i][at3], low)
-                cost[miss] = low + np.where(in3 >= 0, self.escape3[i][in3], 0.0)
-            out[some, i] = np.add.reduceat(cost, offsets[some])
+        for i, tree in enumerate(self.trees):
+            out[some, i] = np.add.reduceat(tree.bits(distinct)[at], offsets[some])
         return out
 
 
@@ -189,18 +214,41 @@ def counted(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return source.mapInArrow(run, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_nodes: int = 300_000, max_langs: int = 64) -> Trees:
-    """Trees of the languages of ``docs``, of ``max_nodes`` four-byte strings in all."""
-    counts = common.written(counted(docs, text_col, lang_col), "counts")
-    langs = sorted(r["lang"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect())
-    if not langs:
-        return Trees([], [], [])
-    by = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
-    # At most max_nodes rows in all come to the driver.
-    rows = counts.where(F.col("lang").isin(langs)).withColumn("r", F.row_number().over(by)).where(F.col("r") <= max_nodes // len(langs)).select("lang", "code", "n").toPandas()
-    rows = rows.sort_values(["lang", "code"])
-    parts = [rows[rows["lang"] == x] for x in langs]
-    return Trees(langs, [p["code"].to_numpy(np.uint32) for p in parts], [p["n"].to_numpy(np.int64) for p in parts])
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_nodes: int = 1_000_000) -> Trees:
+    """Trees of all languages of ``docs``; strings that are rarer than the ``max_nodes`` most frequent ones count, but aren't kept as nodes."""
+    levels = [common.written(counted(docs, text_col, lang_col), "counts")]
+    for mask in (0xFFFFFF, 0xFFFF, 0xFF):
+        levels.append(common.written(levels[-1].groupBy("lang", F.col("code").bitwiseAND(F.lit(mask)).alias("code")).agg(F.sum("n").alias("n")), "counts"))
+    parts = []
+    for level in levels[:3]:
+        contexts = common.written(level.groupBy("lang", F.shiftright("code", 8).alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("distinct")), "contexts")
+        least = least_count(level, max_nodes)
+        # At most max_nodes rows of each kind come to the driver; a context has at least the count of each of its strings.
+        parts.append((level.where(F.col("n") >= least).toPandas(), contexts.where(F.col("total") >= max(least, least_count(contexts.withColumnRenamed("total", "n"), max_nodes))).toPandas()))
+    ones = levels[3].toPandas()
+    langs = sorted(ones["lang"].unique())
+    trees = []
+    for lang in langs:
+        tables = []
+        for strings, contexts in parts:
+            c = contexts[contexts["lang"] == lang].sort_values("context")
+            known = c["context"].to_numpy(np.uint32)
+            s = strings[strings["lang"] == lang].sort_values("code")
+            codes = s["code"].to_numpy(np.uint32)
+            _, inside = lookup(known, codes >> np.uint32(8))
+            tables.append((codes[inside], s["n"].to_numpy(np.float64)[inside], known, c["total"].to_numpy(np.float64), c["distinct"].to_numpy(np.float64)))
+        own = ones[ones["lang"] == lang]
+        trees.append(Tree(tables, np.bincount(own["code"].to_numpy(np.int64), own["n"].to_numpy(np.float64), 256)))
+    return Trees(langs, trees)
+
+
+def least_count(rows: DataFrame, most: int) -> float:
+    """The least n, in steps of a sixteenth of a doubling, for which at most ``most`` rows have so many."""
+    step = F.floor(F.log2("n") * 16).cast("int")
+    bins = sorted((r["bin"], r["count"]) for r in rows.groupBy(step.alias("bin")).count().collect())  # 16 * 63 at most
+    while bins and sum(c for _, c in bins) > most:
+        bins.pop(0)
+    return 2.0 ** (bins[0][0] / 16) if bins else float("inf")
 
 
 def held_out(id_col: str, modulus: int = 4, rest: int = 2) -> Column:
@@ -220,7 +268,7 @@ def predict(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str
             letters = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             if trees.langs:
                 best = bits.argmin(1)
-                score = 1 / np.exp2(bits.min(1)[:, None] - bits).sum(1)
+                score = 1 / np.exp2(np.maximum(bits.min(1)[:, None] - bits, -1000)).sum(1)
                 lang = np.array(trees.langs, object)[best]
             else:
                 score, lang = np.zeros(len(bits)), np.full(len(bits), "und", object)

@@ -11,7 +11,8 @@ Defined cases: a null text is an empty one and is scored like any other; without
 a usable label the score is 0.5, with labels of one class it is near that class;
 null labels teach nothing; of several labels for one id each counts; rows that
 repeat, or share or lack an id, are scored each on its own (a null id is not
-held out); other columns are not read.
+held out); a very long text is one row of one batch (some 60 bytes of memory a
+byte); an empty table gives no rows; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -165,20 +166,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             values = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.string()), batch.column(2), values], ["id", "label", "x"])
 
-    rows = joined.mapInArrow(run, "id string, label int, x array<double>").toPandas()
+    # An id may be there many times: each task hands on max_train_rows rows at most, and so many come to the driver.
+    found = joined.mapInArrow(run, "id string, label int, x array<double>")
+    rows = found.orderBy(F.xxhash64("id"), "id", "label", "x").limit(max_train_rows).toPandas()
     rows["key"] = [tuple(v) for v in rows["x"]]
-    rows = rows.sort_values(["id", "label", "key"]).iloc[:max_train_rows]
+    rows = rows.sort_values(["id", "label", "key"])
     x = np.array(rows["x"].tolist(), float).reshape(-1, len(FEATURES))
     return fit(x, rows["label"].clip(0, 1).to_numpy(float), **how)
 
 
 def score(docs: DataFrame, model: Trees, keep: list[str], text_col: str = "text", out: str = "score") -> DataFrame:
     """The columns ``keep`` and each text's score, as column ``out``."""
-    source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).cast("string").alias("__text"))
+    (text,) = common.free([*keep, out], "text")
+    source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string").alias(text))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField(out, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "__text"):
+        for batch in common.slices(batches, text):
             found = model.score(statistics(batch.column(batch.num_columns - 1)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found)], [*batch.schema.names[:-1], out])
 

@@ -54,6 +54,23 @@ def per_range(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return total[ends] - total[starts]
 
 
+def spans_covered(sa: np.ndarray, left: np.ndarray, right: np.ndarray, deep: np.ndarray, n: int) -> np.ndarray:
+    """Marks each position in the union of the spans of all occurrences of the intervals.
+
+    Intervals are nested and the scan emits the inner one first: marked in the
+    reverse order, each slot of the array keeps the longest of its spans, which
+    begin at the same position.
+    """
+    size = np.zeros(n, np.int64)
+    for a, b, d in zip(left[::-1].tolist(), (right[::-1] + 1).tolist(), deep[::-1].tolist()):
+        size[a:b] = d
+    hit = np.flatnonzero(size)
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, sa[hit], 1)
+    np.add.at(edge, sa[hit] + size[hit], -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
 def repetition(words: common.Words, window: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per row: words covered by repeats of ``window`` words, of ``least`` words; longest repeat."""
     n = len(words.count)
@@ -64,8 +81,12 @@ def repetition(words: common.Words, window: int, least: int) -> tuple[np.ndarray
     symbols = words.doc * (int(ids.max()) + 1) + ids
     sa, levels = suffix.sort_suffixes(symbols, words.doc)
     lcp = suffix.neighbour_lcp(sa, levels, words.first[1:][words.doc])
-    np.maximum.at(longest, words.doc[sa[lcp > 0]], lcp[lcp > 0])
-    return (*(common.per_row(suffix.covered(sa, lcp, m), words.first) for m in (window, least)), longest)
+    np.maximum.at(longest, words.doc[sa[lcp > 0]], lcp[lcp > 0])  # the depth of the deepest interval
+    before = np.append(-1, symbols[:-1])
+    before[words.first[:-1][words.count > 0]] = -1 - np.flatnonzero(words.count > 0)
+    left, right, deep = suffix.maximal_repeats(sa, lcp, before, min(window, least))
+    covers = [common.per_row(spans_covered(sa, *(x[deep >= m] for x in (left, right, deep)), len(sa)), words.first) for m in (window, least)]
+    return (*covers, longest)
 
 
 def measure(column: pa.Array, window: int = 3, least: int = 8) -> dict[str, np.ndarray]:

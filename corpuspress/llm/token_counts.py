@@ -67,12 +67,17 @@ class TokenTree:
     def __init__(self, text: str, counter: Counter):
         self.counter = counter
         parts = pieces(text) if text else []
+        self.spread(parts, [counter[p] for p in parts])
+
+    def spread(self, parts: list[str], counts: list[int]) -> None:
+        """Pieces and their counts over blocks, and the sums above them."""
         self.blocks = [parts[i : i + BLOCK] for i in range(0, len(parts), BLOCK)] or [[]]
+        self.counts = [counts[i : i + BLOCK] for i in range(0, len(parts), BLOCK)] or [[]]
         self.size = 1 << (len(self.blocks) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
-        count, s = counter.__getitem__, self.size
-        for i, b in enumerate(self.blocks):
-            self.chars[s + i], self.tokens[s + i] = sum(map(len, b)), sum(map(count, b))
+        s = self.size
+        for i, (b, c) in enumerate(zip(self.blocks, self.counts)):
+            self.chars[s + i], self.tokens[s + i] = sum(map(len, b)), sum(c)
         for i in range(s - 1, 0, -1):
             self.chars[i], self.tokens[i] = self.chars[2 * i] + self.chars[2 * i + 1], self.tokens[2 * i] + self.tokens[2 * i + 1]
 
@@ -106,25 +111,26 @@ class TokenTree:
         else:
             old = "".join(["".join(self.blocks[b0][k0:]), *("".join(b) for b in self.blocks[b0 + 1 : b1]), "".join(self.blocks[b1][: k1 + 1])])
         new = old[: at - start] + put + old[at - start + cut :]
-        fresh, after = pieces(new) if new else [], self.blocks[b1][k1 + 1 :]
-        if b0 == b1:
-            self.blocks[b0][k0 : k1 + 1] = fresh
-        else:
-            self.blocks[b0][k0:] = fresh
-            for b in range(b0 + 1, b1):
-                self.blocks[b] = []
-            self.blocks[b1] = after
-        changed = range(b0, b1 + 1)
-        count, s = self.counter.__getitem__, self.size
+        fresh = pieces(new) if new else []
+        again = [self.counter[p] for p in fresh]  # nothing else is encoded
+        for held, put_in in ((self.blocks, fresh), (self.counts, again)):
+            if b0 == b1:
+                held[b0][k0 : k1 + 1] = put_in
+            else:
+                held[b0][k0:] = put_in
+                for b in range(b0 + 1, b1):
+                    held[b] = []
+                del held[b1][: k1 + 1]
+        changed, s = range(b0, b1 + 1), self.size
         for b in changed:
-            self.chars[s + b], self.tokens[s + b] = sum(map(len, self.blocks[b])), sum(map(count, self.blocks[b]))
+            self.chars[s + b], self.tokens[s + b] = sum(map(len, self.blocks[b])), sum(self.counts[b])
         nodes = {(s + b) >> 1 for b in changed}
         while nodes and 0 not in nodes:
             for i in nodes:
                 self.chars[i], self.tokens[i] = self.chars[2 * i] + self.chars[2 * i + 1], self.tokens[2 * i] + self.tokens[2 * i + 1]
             nodes = {i >> 1 for i in nodes}
-        if len(self.blocks[b0]) > 64 * BLOCK:  # a long insertion: spread it over new blocks
-            self.__init__(self.text(), self.counter)
+        if len(self.blocks[b0]) > 64 * BLOCK:  # a long insertion: blocks of the usual size again, with the counts that are known
+            self.spread([p for b in self.blocks for p in b], [c for b in self.counts for c in b])
         return len(new)
 
     def text(self) -> str:

@@ -99,12 +99,56 @@ def test_code_lengths_are_exact():
                     tables[lang][k][data[i - k : i]][data[i]] += 1
         codes.append(np.array(sorted(found), np.uint32))
         numbers.append(np.array([found[c] for c in sorted(found)]))
-    trees = language_id.Trees(list(train), codes, numbers)
+    trees = language_id.Trees(list(train), [language_id.tree_of(*x) for x in zip(codes, numbers)])
     texts = [b"banana", b"", b"zoo\xff\x00q", b"an \xc3\xa9", b"zebra banana" * 5]
     data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     got = trees.bits(data, offsets)
     want = [[slow_bits(t, tables[lang]) for lang in train] for t in texts]
-    assert np.allclose(got, want)
+    assert np.allclose(got, want, rtol=1e-6)
+
+
+def test_predictions_by_brute_force(spark):
+    """Code lengths by the definition, over the trained statistics of whole texts."""
+    docs = common.read(spark, SF, "documents")
+    rows = docs.collect()
+    tables = {}
+    for r in rows:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 or r["text"] is None or r["lang"] is None:
+            continue
+        own = tables.setdefault(r["lang"], [defaultdict(Counter) for _ in range(4)])
+        data = b"\n\n\n" + language_id.folded(np.frombuffer(r["text"].encode(), np.uint8)).tobytes()
+        for i in range(3, len(data)):
+            for k in range(4):
+                own[k][data[i - k : i]][data[i]] += 1
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.op4_language_id(spark, SF).collect()}
+    for r in rows:
+        text = (r["text"] or "").encode()
+        if len(text) > 3000:
+            continue
+        if not any(c.isalpha() for c in text.decode()):
+            assert got[r["doc_id"]] == ("und", 0.0)
+            continue
+        bits = {lang: slow_bits(text, tables[lang]) for lang in sorted(tables)}
+        least = min(bits.values())
+        near = [lang for lang, b in bits.items() if b - least < 1e-2]
+        assert got[r["doc_id"]][0] in near
+        if len(near) == 1:
+            assert abs(got[r["doc_id"]][1] - 1 / sum(2 ** max(least - b, -1000) for b in bits.values())) < 1e-2
+
+
+def test_rare_strings_beyond_the_bound(spark):
+    """Past the bound on nodes all counts stay true, no language is lost, and a string without a node is coded as one never seen there."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "q" + chr(97 + k // 26) + chr(97 + k % 26)]) for _ in range(40)), f"l{k:02}") for i, k in enumerate(list(range(80)) * 3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    whole, part = language_id.train(df), language_id.train(df, max_nodes=300)
+    assert whole.langs == part.langs == sorted({r[2] for r in rows}) and len(whole.langs) == 80
+    assert 0 < sum(len(t.tables[0][0]) for t in part.trees) <= 300 < sum(len(t.tables[0][0]) for t in whole.trees)
+    for a, b in zip(whole.trees, part.trees):
+        kept, there = language_id.lookup(a.tables[0][0], b.tables[0][0])
+        assert there.all() and np.array_equal(a.tables[0][1][kept], b.tables[0][1])
+        assert np.array_equal(a.bits1, b.bits1)
+    assert all(r["lang_pred"] in whole.langs for r in language_id.predict(df, part).collect())
 
 
 def test_language(spark):
