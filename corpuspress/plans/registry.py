@@ -258,10 +258,10 @@ def pack(b: Column, algorithm: str) -> Column:
 
 
 def unpack_bytes(data: bytes) -> bytes:
-    head, mark, payload = data[:1024].partition(b"%")
-    if not mark:
-        raise ValueError("no algorithm in the first 1023 bytes")
-    return codec(head.decode()).backward(data[len(head) + 1 :])
+    at = data.find(b"%")
+    if at < 0:
+        raise ValueError("no algorithm before the data")
+    return codec(data[:at].decode()).backward(data[at + 1 :])
 
 
 def unpack(b: Column) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .functions import bits, hashes
 from .operators import compare, grammar, index, lz, profile, relations, transforms
 from .plans import registry
+from .session import spread
 from .sources import corpus, generators
 from .streaming import windows
 
@@ -37,6 +38,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """The table for queries that run Python over its texts."""
+    return spread(table(spark, sf_dir, name))
+
+
 # Histograms, runs and entropies of documents.
 
 BYTES = "WITH d AS (SELECT *, encode(text) AS b FROM documents WHERE text IS NOT NULL), e AS (SELECT * EXCLUDE (b, text), b, unnest(range(1, octet_length(b) + 1)) AS i FROM d), y AS (SELECT * EXCLUDE b, CAST('0x' || hex(b[i:i]) AS BIGINT) AS c FROM e)"
@@ -50,17 +56,17 @@ def language_entropy(spark, sf_dir):
 
 @query()
 def text_profile(spark, sf_dir):
-    return profile.text_profile(table(spark, sf_dir, "documents"), ["lang"])
+    return profile.text_profile(texts(spark, sf_dir), ["lang"])
 
 
 @query(f"{BYTES} SELECT lang, source, c, count(*) AS n FROM y GROUP BY ALL")
 def byte_histogram(spark, sf_dir):
-    return profile.byte_histogram(table(spark, sf_dir, "documents"), ["lang", "source"])
+    return profile.byte_histogram(texts(spark, sf_dir), ["lang", "source"])
 
 
 @query(f"{BYTES} SELECT doc_id, count(DISTINCT c) AS sigma FROM y GROUP BY doc_id")
 def alphabet_size(spark, sf_dir):
-    return profile.byte_histogram(table(spark, sf_dir, "documents"), ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("sigma"))
+    return profile.byte_histogram(texts(spark, sf_dir), ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("sigma"))
 
 
 def _entropy_sql(k: int) -> str:
@@ -74,7 +80,7 @@ SELECT doc_id, round(coalesce(sum(n * log2(whole / n)), 0) / any_value(octet_len
 
 def _entropy(k: int):
     def run(spark, sf_dir):
-        found = profile.entropies(table(spark, sf_dir, "documents").where(F.octet_length("text") > k), orders=(k,))
+        found = profile.entropies(texts(spark, sf_dir).where(F.octet_length("text") > k), orders=(k,))
         return found.select("doc_id", F.round(f"h{k}", 7).alias("h"))
 
     run.__name__ = f"entropy_h{k}"
@@ -89,7 +95,7 @@ RUNS = f"{BYTES}, s AS (SELECT doc_id, i, c, CASE WHEN c IS DISTINCT FROM lag(c)
 
 @query(f"{RUNS} SELECT doc_id, count(*) AS n_runs, max(n) AS longest_run FROM r GROUP BY doc_id")
 def byte_runs(spark, sf_dir):
-    return profile.byte_runs(table(spark, sf_dir, "documents")).where("n_runs > 0")
+    return profile.byte_runs(texts(spark, sf_dir)).where("n_runs > 0")
 
 
 _RLE = "CASE WHEN n = 1 THEN 1 ELSE 2 + greatest(1, CAST(ceil(length(bin(CAST(n - 2 AS BIGINT))) / 7.0) AS BIGINT)) END"
@@ -97,40 +103,40 @@ _RLE = "CASE WHEN n = 1 THEN 1 ELSE 2 + greatest(1, CAST(ceil(length(bin(CAST(n
 
 @query(f"{RUNS} SELECT doc_id, CAST(sum(n) AS BIGINT) AS raw_bytes, CAST(sum({_RLE}) AS BIGINT) AS rle_bytes FROM r GROUP BY doc_id")
 def rle_size(spark, sf_dir):
-    return profile.rle_bytes(table(spark, sf_dir, "documents")).where("raw_bytes > 0")
+    return profile.rle_bytes(texts(spark, sf_dir)).where("raw_bytes > 0")
 
 
 @query(f"{RUNS}, z AS (SELECT doc_id, sum(n) AS raw, sum({_RLE}) AS packed FROM r GROUP BY doc_id) SELECT lang, source, count(*) AS n_docs, CAST(sum(raw) AS BIGINT) AS raw_bytes, CAST(sum(packed) AS BIGINT) AS rle_bytes, round(sum(packed) / sum(raw), 9) AS rate FROM z JOIN documents USING (doc_id) GROUP BY ROLLUP (lang, source)")
 def rate_rollup(spark, sf_dir):
-    sized = table(spark, sf_dir, "documents").where("length(text) > 0").withColumn("n", F.octet_length("text")).withColumn("packed", F.octet_length(registry.compress(F.col("text"), "rle")))
+    sized = texts(spark, sf_dir).where("length(text) > 0").withColumn("n", F.octet_length("text")).withColumn("packed", F.octet_length(registry.compress(F.col("text"), "rle")))
     return sized.rollup("lang", "source").agg(F.count("*").alias("n_docs"), F.sum("n").alias("raw_bytes"), F.sum("packed").alias("rle_bytes"), F.round(F.sum("packed") / F.sum("n"), 9).alias("rate"))
 
 
 @query(f"{BYTES}, k AS (SELECT c * 65536 + lead(c, 1) OVER (PARTITION BY doc_id ORDER BY i) * 256 + lead(c, 2) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM y) SELECT g AS kmer, count(*) AS n FROM k WHERE g IS NOT NULL GROUP BY g ORDER BY n DESC, g LIMIT 100")
 def kmer_topk(spark, sf_dir):
-    found = profile.expanded(table(spark, sf_dir, "documents"), [], "text", 3)
+    found = profile.expanded(texts(spark, sf_dir), [], "text", 3)
     return found.select(F.col("g").alias("kmer"), "n").orderBy(F.desc("n"), "kmer").limit(100)
 
 
 @query(f"{BYTES}, k AS (SELECT lang, c AS l, lead(c) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM y) SELECT lang, l, r, count(*) AS n FROM k WHERE r IS NOT NULL GROUP BY ALL")
 def digram_counts(spark, sf_dir):
-    found = profile.expanded(table(spark, sf_dir, "documents"), ["lang"], "text", 2)
+    found = profile.expanded(texts(spark, sf_dir), ["lang"], "text", 2)
     return found.select("lang", F.shiftright("g", 8).alias("l"), F.col("g").bitwiseAND(255).alias("r"), "n")
 
 
 @query(f"{BYTES}, h AS (SELECT lang, c, count(*) AS n FROM y GROUP BY ALL) SELECT lang, c, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, c) - 1 AS rank FROM h")
 def sle_ranking(spark, sf_dir):
-    return profile.sle_ranking(table(spark, sf_dir, "documents"), ["lang"])
+    return profile.sle_ranking(texts(spark, sf_dir), ["lang"])
 
 
 @query()
 def huffman_code_lengths(spark, sf_dir):
-    return profile.code_table(profile.byte_histogram(table(spark, sf_dir, "documents"), ["lang"]), ["lang"])
+    return profile.code_table(profile.byte_histogram(texts(spark, sf_dir), ["lang"]), ["lang"])
 
 
 @query()
 def huffman_document_bits(spark, sf_dir):
-    return profile.per_text(table(spark, sf_dir, "documents"), "doc_id", "text", {"huff_bits": "bigint"}, lambda b: (profile.huffman_bits(b),))
+    return profile.per_text(texts(spark, sf_dir), "doc_id", "text", {"huff_bits": "bigint"}, lambda b: (profile.huffman_bits(b),))
 
 
 # Integer codes.
@@ -190,7 +196,7 @@ _LCE = "list_reduce([0, 4096, 2048, 1024, 512, 256, 128, 64, 32, 16, 8, 4, 2, 1]
 
 
 def talks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000000 + F.col("turn")).alias("id"), "text")
+    return texts(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000000 + F.col("turn")).alias("id"), "text")
 
 
 def _index(*names: str):
@@ -206,7 +212,7 @@ for _name, _columns, _sql in (
     ("phi_array", ("phi",), "SELECT id, sa AS i, coalesce(lag(sa) OVER (PARTITION BY id ORDER BY i), last(sa) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS phi FROM s"),
     ("lcp_array", ("lcp",), f"SELECT id, i, CAST(CASE WHEN y IS NULL THEN 0 ELSE {_LCE} END AS BIGINT) AS lcp FROM (SELECT *, lag(x) OVER (PARTITION BY id ORDER BY i) AS y FROM s)"),
     ("plcp_array", ("plcp",), f"SELECT id, sa AS i, CAST(CASE WHEN y IS NULL THEN 0 ELSE {_LCE} END AS BIGINT) AS plcp FROM (SELECT *, lag(x) OVER (PARTITION BY id ORDER BY i) AS y FROM s)"),
-    ("psi_array", ("psi",), "SELECT a.id, a.i, b.i AS psi FROM s a JOIN s b ON a.id = b.id AND b.sa = (a.sa + 1) % a.n"),
+    ("psi_array", ("psi",), "SELECT id, i, coalesce(lead(i) OVER (PARTITION BY id ORDER BY sa), first(i) OVER (PARTITION BY id ORDER BY sa)) AS psi FROM s"),
     ("lf_array", ("lf",), "SELECT id, i, row_number() OVER (PARTITION BY id ORDER BY bwt, i) - 1 AS lf FROM s"),
     ("bwt_columns", ("bwt", "first"), "SELECT id, i, bwt, first FROM s"),
     ("lyndon_factors", ("lyndon",), "SELECT id, sa AS i, coalesce(i < min(i) OVER (PARTITION BY id ORDER BY sa ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS lyndon FROM s"),
@@ -219,7 +225,7 @@ for _name, _columns, _sql in (
 
 @query()
 def longest_previous_factor(spark, sf_dir):
-    return index.text_index(table(spark, sf_dir, "documents"), ("lpf",), "doc_id", "text")
+    return index.text_index(texts(spark, sf_dir), ("lpf",), "doc_id", "text")
 
 
 @query(f"""{SUFFIXES}, l AS (SELECT id, i, bwt, lag(bwt) OVER (PARTITION BY id ORDER BY i) AS before, lag(x) OVER (PARTITION BY id ORDER BY i) AS y, x FROM s),
@@ -231,7 +237,7 @@ def bwt_statistics(spark, sf_dir):
 
 @query()
 def document_bwt_statistics(spark, sf_dir):
-    return index.bwt_runs(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("avg_lcp", F.round("avg_lcp", 9))
+    return index.bwt_runs(texts(spark, sf_dir), "doc_id", "text").withColumn("avg_lcp", F.round("avg_lcp", 9))
 
 
 @query(f"""{SUFFIXES}, v AS (SELECT id, CASE WHEN y IS NULL THEN 0 ELSE {_LCE} END AS lcp FROM (SELECT *, lag(x) OVER (PARTITION BY id ORDER BY i) AS y FROM s))
@@ -277,7 +283,7 @@ ROUND_TRIPS = {
 def _round_trip(name: str, algorithm: str):
     def run(spark, sf_dir):
         back = registry.decompress(registry.compress(F.col("text"), algorithm), algorithm)
-        return table(spark, sf_dir, "documents").select("doc_id", back.alias("b")).select("doc_id", F.octet_length("b").cast("bigint").alias("n_bytes"), F.sha2("b", 256).alias("sha256"))
+        return texts(spark, sf_dir).select("doc_id", back.alias("b")).select("doc_id", F.octet_length("b").cast("bigint").alias("n_bytes"), F.sha2("b", 256).alias("sha256"))
 
     run.__name__ = f"roundtrip_{name}"
     return run
@@ -290,7 +296,7 @@ for _name, _algorithm in ROUND_TRIPS.items():
 
 @query(_SAME)
 def roundtrip_container(spark, sf_dir):
-    packed = table(spark, sf_dir, "documents").select("doc_id", registry.unpack(registry.pack(F.col("text"), "lzw(coder=bit)")).alias("b"))
+    packed = texts(spark, sf_dir).select("doc_id", registry.unpack(registry.pack(F.col("text"), "lzw(coder=bit)")).alias("b"))
     return packed.select("doc_id", F.octet_length("b").cast("bigint").alias("n_bytes"), F.sha2("b", 256).alias("sha256"))
 
 
@@ -305,7 +311,7 @@ def _factor_statistics(data: bytes, factors: list[tuple[int, int, int]]) -> tupl
 def _factors(name: str, parse):
     def run(spark, sf_dir):
         out = {"n_bytes": "bigint", "n_factors": "bigint", "n_replaced": "bigint", "longest": "bigint", "n_forward": "bigint"}
-        return profile.per_text(table(spark, sf_dir, "documents"), "doc_id", "text", out, lambda b: _factor_statistics(b, parse(b)))
+        return profile.per_text(texts(spark, sf_dir), "doc_id", "text", out, lambda b: _factor_statistics(b, parse(b)))
 
     run.__name__ = f"factors_{name}"
     return run
@@ -320,7 +326,7 @@ for _name, _parse in {
 @query()
 def phrase_counts(spark, sf_dir):
     out = {"lz78": "bigint", "lzw": "bigint", "lz78u": "bigint"}
-    return profile.per_text(table(spark, sf_dir, "documents"), "doc_id", "text", out, lambda b: (len(lz.lz78_factors(b)), len(lz.lzw_codes(b)), len(lz.lz78u_factors(transforms.escape(b)))))
+    return profile.per_text(texts(spark, sf_dir), "doc_id", "text", out, lambda b: (len(lz.lz78_factors(b)), len(lz.lzw_codes(b)), len(lz.lz78u_factors(transforms.escape(b)))))
 
 
 @query()
@@ -331,7 +337,7 @@ def flatten_depth(spark, sf_dir):
         factors, depth = lz.flattened(lz.lcpcomp_factors(transforms.escape(b), 5, flatten=False))
         return len(factors), depth
 
-    return profile.per_text(table(spark, sf_dir, "documents"), "doc_id", "text", out, measure)
+    return profile.per_text(texts(spark, sf_dir), "doc_id", "text", out, measure)
 
 
 @query()
@@ -344,17 +350,17 @@ def grammar_sizes(spark, sf_dir):
         one, two = grammar.lfs_grammar(b, 2, 1)[1], grammar.lfs_grammar(b, 5, 2)[1]
         return len(rules), len(start), len(slp), max(grammar.depths(slp), default=0), len(one), len(two), max(grammar.depths(two), default=0)
 
-    return profile.per_text(table(spark, sf_dir, "documents"), "doc_id", "text", out, measure)
+    return profile.per_text(texts(spark, sf_dir), "doc_id", "text", out, measure)
 
 
 @query()
 def factor_rows(spark, sf_dir):
-    return relations.factors(table(spark, sf_dir, "documents"), "lcpcomp")
+    return relations.factors(texts(spark, sf_dir), "lcpcomp")
 
 
 @query("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_covered FROM documents WHERE strlen(text) > 0")
 def literals_and_factors(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("length(text) > 0")
+    docs = texts(spark, sf_dir).where("length(text) > 0")
     sizes = docs.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"))
     found = relations.factors(docs, "lzss")
     gaps = relations.uncovered(found, sizes).select("doc_id", (F.col("end") - F.col("begin")).alias("n"))
@@ -363,32 +369,32 @@ def literals_and_factors(spark, sf_dir):
 
 @query()
 def lz78_factor_rows(spark, sf_dir):
-    return relations.lz78_rows(table(spark, sf_dir, "documents"))
+    return relations.lz78_rows(texts(spark, sf_dir))
 
 
 @query()
 def lzw_code_rows(spark, sf_dir):
-    return relations.lzw_rows(table(spark, sf_dir, "documents"))
+    return relations.lzw_rows(texts(spark, sf_dir))
 
 
 @query()
 def lz78u_factor_rows(spark, sf_dir):
-    return relations.lz78u_rows(table(spark, sf_dir, "documents"))
+    return relations.lz78u_rows(texts(spark, sf_dir))
 
 
 @query()
 def slp_rules(spark, sf_dir):
-    return relations.slp_rules(table(spark, sf_dir, "documents"))
+    return relations.slp_rules(texts(spark, sf_dir))
 
 
 @query()
 def repair_rules(spark, sf_dir):
-    return relations.repair_rules(table(spark, sf_dir, "documents"))
+    return relations.repair_rules(texts(spark, sf_dir))
 
 
 @query()
 def suffix_tree_nodes(spark, sf_dir):
-    return relations.prefix_intervals(table(spark, sf_dir, "documents"), 5)
+    return relations.prefix_intervals(texts(spark, sf_dir), 5)
 
 
 @query(f"{SUFFIXES}, v AS (SELECT id, sa, CASE WHEN y IS NULL THEN 0 ELSE {_LCE} END AS plcp FROM (SELECT *, lag(x) OVER (PARTITION BY id ORDER BY i) AS y FROM s)), g AS (SELECT id, plcp - coalesce(lag(plcp) OVER (PARTITION BY id ORDER BY sa), -1) AS step FROM v) SELECT id, CAST(sum(step + 1) + count(*) AS BIGINT) AS n_bits FROM g GROUP BY id")
@@ -409,7 +415,7 @@ def hash_functions(spark, sf_dir):
 
 @query()
 def rolling_hashes(spark, sf_dir):
-    return relations.rows_of_texts(table(spark, sf_dir, "benchmark"), "item_id", "text", ("i", "hash"), lambda b: enumerate(hashes.rabin_karp(b, 8).tolist()))
+    return relations.rows_of_texts(texts(spark, sf_dir, "benchmark"), "item_id", "text", ("i", "hash"), lambda b: enumerate(hashes.rabin_karp(b, 8).tolist()))
 
 
 # Comparison, generators, corpora, streams.
@@ -417,7 +423,7 @@ def rolling_hashes(spark, sf_dir):
 
 @query()
 def compare_suite(spark, sf_dir):
-    return compare.report(compare.compare(table(spark, sf_dir, "documents")))
+    return compare.report(compare.compare(texts(spark, sf_dir)))
 
 
 @query("SELECT range AS i, CAST(bit_count(range) % 2 AS BIGINT) AS bit FROM range(65536)")

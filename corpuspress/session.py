@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -26,5 +26,21 @@ def attach(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Bytes of input to a core up to which rows are dealt to the cores before heavy work.
+SMALL = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small input over the cores; a large one is left to its own splits.
+
+    A file is split at its row groups at best, so a table with few of them keeps
+    few cores busy whatever Python work follows.  The plan's statistics decide,
+    and only the plan depends on them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(4 * cores) if size <= cores * SMALL else df
+
+
 ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
 DEFAULTS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", None), "spark.sql.execution.arrow.maxBytesPerBatch": ("9223372036854775807", "268435456", "67108864", "-1", "2147483647", None)}

@@ -22,7 +22,7 @@ def stream_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sliced(b: Column, low: int = 0, high: int | None = None) -> Column:
-    return F.substring(b, low + 1, (high if high is not None else 1 << 30) - low)
+    return F.substring(b, low + 1, (high - low) if high is not None else (1 << 31) - 1)
 
 
 def write_blobs(df: DataFrame, path: str, force: bool = False) -> None:
