@@ -22,7 +22,7 @@ class BitWriter:
         self.parts: list[str] = []
 
     def write(self, v: int, width: int) -> None:
-        self.parts.append(format(v, f"0{width}b"))
+        self.parts.append(bin(1 << width | v)[3:] if width else "0")
 
     def text(self, bits: str) -> None:
         self.parts.append(bits)
@@ -75,6 +75,13 @@ class BitReader:
     def eof(self) -> bool:
         return self.at >= len(self.bits)
 
+    def bytes(self, n: int) -> bytes:
+        """The next n whole bytes."""
+        end = self.at + 8 * n
+        out = int(self.bits[self.at : end], 2).to_bytes(n, "big") if n else b""
+        self.at = end
+        return out
+
     def read(self, width: int) -> int:
         v = int(self.bits[self.at : self.at + width], 2)
         self.at += width

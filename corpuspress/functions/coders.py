@@ -16,6 +16,12 @@ import numpy as np
 from .bits import BitReader, BitWriter, bits_for
 
 
+#: The groups of coders: for any numbers, by the literals' counts, and those that may hold tokens back.
+GROUPS = {"universal": ("ascii", "bit", "gamma", "delta", "ternary"), "entropy": ("huff",), "consuming": ("arithmetic", "sle")}
+#: The eight bits of each byte.
+OCTETS = [format(c, "08b") for c in range(256)]
+
+
 class Fixed:
     """Numbers at the width of their range; the base of all coders."""
 
@@ -39,11 +45,15 @@ class FixedEncoder:
         self.out.write(c, 8)
 
     def lits(self, data: bytes) -> None:
-        for c in data:
-            self.lit(c)
+        self.out.text("".join(map(OCTETS.__getitem__, data)))
 
     def num(self, v: int, low: int, high: int) -> None:
-        self.out.write(v - low, bits_for(high - low))
+        self.out.write(v - low, (high - low).bit_length() or 1)
+
+    def nums(self, values: list[int], highs: list[int]) -> None:
+        """Numbers from 0 to each one's own end."""
+        for v, high in zip(values, highs):
+            self.num(v, 0, high)
 
     def mind(self, v: int, low: int, high: int) -> None:
         self.num(v, low, high)
@@ -66,10 +76,17 @@ class FixedDecoder:
         return self.src.read(8)
 
     def lits(self, n: int) -> bytes:
-        return bytes(self.lit() for _ in range(n))
+        return self.src.bytes(n)
+
+    def rest(self) -> bytes:
+        """All literals to the end of the stream."""
+        out = bytearray()
+        while not self.eof():
+            out.append(self.lit())
+        return bytes(out)
 
     def num(self, low: int, high: int) -> int:
-        return self.src.read(bits_for(high - low)) + low
+        return self.src.read((high - low).bit_length() or 1) + low
 
     def mind(self, low: int, high: int) -> int:
         return self.num(low, high)
@@ -128,6 +145,14 @@ class UniversalEncoder(FixedEncoder):
     def lit(self, c):
         self.code(c)
 
+    def lits(self, data):
+        words = {}
+        for c in set(data):
+            one = BitWriter()
+            getattr(one, self.code.__name__)(c)
+            words[c] = one.bits()
+        self.out.text("".join(map(words.__getitem__, data)))
+
     def num(self, v, low, high):
         self.code(v - low)
 
@@ -136,6 +161,9 @@ class UniversalDecoder(FixedDecoder):
     def lit(self):
         return self.code()
 
+    def lits(self, n):
+        return bytes(self.code() for _ in range(n))
+
     def num(self, low, high):
         return self.code() + low
 
@@ -224,7 +252,7 @@ class HuffmanDecoder(FixedDecoder):
                 lengths.update(dict.fromkeys(symbols[at : at + k], n))
                 at += k
             self.codes = {w: s for s, w in canonical(lengths).items()}
-            self.shortest = min(lengths.values())
+            self.shortest, self.longest = min(lengths.values()), longest
 
     def lit(self):
         if self.codes is None:
@@ -236,6 +264,35 @@ class HuffmanDecoder(FixedDecoder):
         self.src.at = end
         return s
 
+    def lits(self, n):
+        return self.many(n) if self.codes is not None else self.src.bytes(n)
+
+    def rest(self):
+        left = len(self.src.bits) - self.src.at
+        return self.many(left) if self.codes is not None else self.src.bytes(left // 8)
+
+    def many(self, n: int) -> bytes:
+        """The next n symbols, or all to the end of the stream, by tables of what each next few bits begin with."""
+        if n < 400 or self.longest > 16:
+            return bytes(self.lit() for _ in range(n) if not self.src.eof())
+        at, width = self.src.at, self.longest
+        bits = np.frombuffer(self.src.bits[at : at + n * width].encode(), np.uint8) - 48
+        ahead = np.zeros(len(bits), np.int64)
+        for j in range(width):
+            ahead[: len(bits) - j] |= bits[j:].astype(np.int64) << (width - 1 - j)
+        symbol, size = np.zeros(1 << width, np.int64), np.ones(1 << width, np.int64)
+        for w, s in self.codes.items():
+            low = int(w, 2) << (width - len(w))
+            symbol[low : low + (1 << (width - len(w)))], size[low : low + (1 << (width - len(w)))] = s, len(w)
+        symbols, sizes = symbol[ahead].tolist(), size[ahead].tolist()
+        out, i, end = bytearray(), 0, len(sizes)
+        while n and i < end:
+            out.append(symbols[i])
+            i += sizes[i]
+            n -= 1
+        self.src.at = at + i
+        return bytes(out)
+
 
 class Arithmetic(Fixed):
     """Static range coder for literals; other tokens at fixed width in a section of their own."""
@@ -270,6 +327,10 @@ class ArithmeticEncoder(FixedEncoder):
         self.counts, self.sums = counts, scaled(counts)
         self.low, self.range, self.bytes, self.n = 0, _TOP, bytearray(), 0
 
+    def lits(self, data):
+        for c in data:
+            self.lit(c)
+
     def lit(self, c):
         step = self.range // self.sums[-1]
         self.low += step * self.sums[c]
@@ -325,6 +386,9 @@ class ArithmeticDecoder(FixedDecoder):
     def eof(self):
         return self.left <= 0 and super().eof()
 
+    def lits(self, n):
+        return bytes(self.lit() for _ in range(n))
+
     def lit(self):
         step = self.range // self.total
         at = min(self.code // step, self.total - 1)
@@ -373,6 +437,9 @@ def rank_classes(bits: int) -> list[tuple[int, str, int, int | None]]:
 MIND = [(8, "00", 0, 3), (16, "01", 8, 3), (32, "10", 16, 4), (1 << 62, "11", 0, None)]
 
 
+MIND_CLASSES = {p: (b, w) for _, p, b, w in MIND}
+
+
 def ranking(literals: bytes, k: int) -> list[bytes]:
     """Symbols (bytes and k-mers) by count, then bytes before k-mers, then value."""
     single = Counter(literals)
@@ -419,6 +486,20 @@ class LowEntropyEncoder(FixedEncoder):
             self.symbol(self.held)
             self.held = b""
 
+    def lits(self, data):
+        held, k, words, out, i = self.held + bytes(data), self.k, self.words, [], 0
+        n = len(held)
+        while n - i >= k:
+            w = words.get(held[i : i + k])
+            if w is None:
+                w = words[held[i : i + 1]]
+                i += 1
+            else:
+                i += k
+            out.append(w)
+        self.held = held[i:]
+        self.out.text("".join(out))
+
     def bit(self, b):
         self.flush()
         super().bit(b)
@@ -452,30 +533,67 @@ class LowEntropyDecoder(FixedDecoder):
             order.append((v >> 1).to_bytes(k if v & 1 else 1, "big"))
         self.order, self.width = order, bits_for(max(0, n - 1))
         self.classes = {p: (b, w or self.width) for _, p, b, w in rank_classes(self.width)}
-        self.prefix = {len(p) for p in self.classes}
+        self.sizes = sorted({len(p) for p in self.classes})
 
     def eof(self):
         return not self.ready and super().eof()
 
-    def pick(self, classes: dict, full: int) -> int:
-        for n in sorted({len(p) for p in classes}):
-            p = self.src.bits[self.src.at : self.src.at + n]
-            if p in classes:
-                self.src.at += n
-                base, w = classes[p]
-                return base + self.src.read(w or full)
+    def pick(self, classes: dict, sizes: list[int], full: int) -> int:
+        src = self.src
+        for n in sizes:
+            found = classes.get(src.bits[src.at : src.at + n])
+            if found is not None:
+                src.at += n
+                return found[0] + src.read(found[1] or full)
         raise ValueError("not a code of this coder")
 
     def lit(self):
         if not self.ready:
-            self.ready = list(self.order[self.pick(self.classes, self.width)])[::-1]
+            self.ready = list(self.order[self.pick(self.classes, self.sizes, self.width)])[::-1]
         return self.ready.pop()
 
+    def lits(self, n):
+        out = bytearray()
+        while len(out) < n:
+            if self.ready:
+                out.append(self.ready.pop())
+                continue
+            s = self.order[self.pick(self.classes, self.sizes, self.width)]
+            room = n - len(out)
+            out += s[:room]
+            self.ready = list(s[room:])[::-1]
+        return bytes(out)
+
     def mind(self, low, high):
         width = bits_for(high - low)
         if width <= 5:
             return self.src.read(width) + low
-        return low + self.pick({p: (b, w) for _, p, b, w in MIND}, width)
+        return low + self.pick(MIND_CLASSES, [2], width)
+
+
+class Two(Fixed):
+    """Literals by one coder and numbers by another, in one stream; neither may hold tokens back."""
+
+    name = "two"
+
+    def __init__(self, literals: Fixed, numbers: Fixed):
+        self.literals, self.numbers = literals, numbers
+
+    def encoder(self, literals):
+        e, n = self.literals.encoder(literals), self.numbers.encoder(b"")
+        n.out = e.out
+        if isinstance(n, UniversalEncoder):
+            n.code = getattr(e.out, self.numbers.name)
+        e.num, e.mind = n.num, n.mind
+        return e
+
+    def decoder(self, data):
+        d, n = self.literals.decoder(data), self.numbers.decoder(b"")
+        n.src = d.src
+        if isinstance(n, UniversalDecoder):
+            n.code = getattr(d.src, self.numbers.name)
+        d.num, d.mind = n.num, n.mind
+        return d
 
 
 CODERS = {

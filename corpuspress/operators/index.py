@@ -125,22 +125,18 @@ class Index:
 
 def neighbours(sa: np.ndarray, lcp: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """For each text position: source and common prefix with the previous and the next smaller position in suffix order."""
-    n = len(sa)
     out = []
-    order, prefix = sa.tolist(), lcp.tolist()
-    for forward in (True, False):
-        source, length = np.full(n, -1, np.int64), np.zeros(n, np.int64)
-        stack: list[tuple[int, int]] = []
-        carry = 0
-        for i in range(n) if forward else range(n - 1, -1, -1):
-            p = order[i]
-            carry = prefix[i] if forward else (prefix[i + 1] if i + 1 < n else 0)
-            while stack and stack[-1][0] > p:
-                carry = min(carry, stack.pop()[1])
-            if stack:
-                source[p], length[p] = stack[-1][0], carry
-            stack.append((p, carry))
-        source[length == 0] = -1
+    for order, prefix in ((sa, lcp), (sa[::-1], np.append(lcp[1:], 0)[::-1])):
+        # Links to the neighbour before, with the least prefix on the way, jump over all that is larger.
+        link, least, live = np.arange(len(sa)) - 1, prefix.copy(), np.arange(1, len(sa))
+        while len(live):
+            at = link[live]
+            live = live[(at >= 0) & (order[at] > order[live])]
+            at = link[live]
+            least[live], link[live] = np.minimum(least[live], least[at]), link[at]
+        source, length = np.full(len(sa), -1, np.int64), np.zeros(len(sa), np.int64)
+        good = np.flatnonzero((link >= 0) & (least > 0))
+        source[order[good]], length[order[good]] = order[link[good]], least[good]
         out.append((source, length))
     return out[0], out[1]
 
@@ -151,6 +147,20 @@ def of(data: bytes) -> Index:
     return Index(a, np.array([0, len(a)], np.int64))
 
 
+def indexed(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, Index]]:
+    """Indexes of as many texts at once as stay below ``most`` bytes, each with the number of its first text."""
+    texts, at = [escape(t) for t in texts], 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= most):
+            size += len(texts[end])
+            end += 1
+        part = texts[at:end]
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in part])]).astype(np.int64)
+        yield at, Index(np.frombuffer(b"".join(part), np.uint8), offsets)
+        at = end
+
+
 def text_index(df: DataFrame, names: tuple[str, ...] = ("sa",), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each suffix of each text: id, i and the indexes asked for.
 
@@ -164,16 +174,7 @@ def text_index(df: DataFrame, names: tuple[str, ...] = ("sa",), id_col: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [escape(t) for t in batch.column(1).to_pylist()]
-            at = 0
-            while at < len(texts):  # as many texts at once as stay below 1 MiB
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= 1 << 20):
-                    size += len(texts[end])
-                    end += 1
-                part = texts[at:end]
-                offsets = np.concatenate([[0], np.cumsum([len(t) for t in part])]).astype(np.int64)
-                x = Index(np.frombuffer(b"".join(part), np.uint8), offsets)
+            for at, x in indexed(batch.column(1).to_pylist()):
                 columns = [batch.column(0).take(pa.array(x.doc + at)), pa.array(np.arange(x.n) - x.base)]
                 for name in names:
                     v = getattr(x, name)
@@ -184,7 +185,6 @@ def text_index(df: DataFrame, names: tuple[str, ...] = ("sa",), id_col: str = "d
                     else:
                         columns.append(pa.array(v - x.base))
                 yield pa.RecordBatch.from_arrays(columns, [key.name, "i", *names])
-                at = end
 
     schema = f"`{key.name}` {key.dataType.simpleString()}, i bigint, " + ", ".join(f"{n} {kinds.get(n, 'bigint')}" for n in names)
     return source.mapInArrow(run, schema)
@@ -197,12 +197,12 @@ def bwt_runs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
-                x = of(escape(text))
-                rows.append((int((x.bwt[1:] != x.bwt[:-1]).sum()) + 1, int(x.lcp.max()), float(x.lcp.mean())))
-            columns = list(zip(*rows)) if rows else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], [key.name, "bwt_runs", "max_lcp", "avg_lcp"])
+            for at, x in indexed(batch.column(1).to_pylist()):
+                first = x.offsets[:-1]
+                change = np.append(True, x.bwt[1:] != x.bwt[:-1])
+                change[first] = True
+                runs, most, total = np.add.reduceat(change.astype(np.int64), first), np.maximum.reduceat(x.lcp, first), np.add.reduceat(x.lcp, first)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(first)), pa.array(runs), pa.array(most), pa.array(total / np.diff(x.offsets))], [key.name, "bwt_runs", "max_lcp", "avg_lcp"])
 
     return source.mapInArrow(run, f"`{key.name}` {key.dataType.simpleString()}, bwt_runs bigint, max_lcp bigint, avg_lcp double")
 

@@ -225,8 +225,10 @@ def literals_of(data: bytes, factors: list[Factor]) -> bytes:
 def resolve(n: int, factors: list[Factor], literals: bytes) -> bytes:
     """Expand references of any direction by pointer jumping over positions."""
     jump = np.arange(n)
-    for pos, src, size in factors:
-        jump[pos : pos + size] = np.arange(src, src + size)
+    if factors:
+        pos, src, size = np.array(factors, np.int64).T
+        within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        jump[np.repeat(pos, size) + within] = np.repeat(src, size) + within
     text = np.zeros(n, np.uint8)
     text[jump == np.arange(n)] = np.frombuffer(literals, np.uint8)
     while True:
@@ -378,9 +380,8 @@ def lzw_codes(data: bytes, dict_size: int = 0) -> list[int]:
 
 
 def lzw(data: bytes, coder, dict_size: int = 0) -> bytes:
-    e = coder.encoder(b"")
-    for z, code in enumerate(lzw_codes(data, dict_size)):
-        e.num(code, 0, 256 + (z % dict_size if dict_size else z))
+    e, codes = coder.encoder(b""), lzw_codes(data, dict_size)
+    e.nums(codes, [256 + (z % dict_size if dict_size else z) for z in range(len(codes))])
     return e.done()
 
 

@@ -36,6 +36,8 @@ class Spec:
 
 
 SPECS: dict[tuple[str, str], Spec] = {}
+#: Older names of options.
+ALIASES = {("lfs_comp", "coder"): "coding_strat", ("lfs2", "coder"): "lfs2_lit_coder", ("lfs2bst", "coder"): "lfs2_lit_coder"}
 
 
 def register(spec: Spec) -> None:
@@ -54,6 +56,7 @@ def resolve(value: object, kind: str) -> tuple[Spec, dict[str, object]]:
         raise UnknownOption(f"{value.name} takes {len(names)} options")
     given = dict(zip(names, value.args))
     for k, v in value.named:
+        k = ALIASES.get((value.name, k), k)
         if k not in spec.options:
             raise UnknownOption(f"{value.name} has no option {k}")
         if k in given:
@@ -111,10 +114,7 @@ def encode_all(data: bytes, coder) -> bytes:
 
 
 def decode_all(data: bytes, coder) -> bytes:
-    d, out = coder.decoder(data), bytearray()
-    while not d.eof():
-        out.append(d.lit())
-    return bytes(out)
+    return coder.decoder(data).rest()
 
 
 def pair(forward: Callable, backward: Callable) -> Callable:
@@ -122,20 +122,68 @@ def pair(forward: Callable, backward: Callable) -> Callable:
     return lambda **o: Codec(lambda b: forward(b, **o), lambda b: backward(b, **o))
 
 
-def lfs_pair(layers: int) -> Callable:
-    def make(coder=None, min_lrf=2, computing_strat=2, exact=False):
-        if exact:
-            raise UnknownOption("exact=true is not supported")
-        min_lrf = computing_strat if computing_strat != 2 else min_lrf
-        return Codec(lambda b: grammar.lfs(b, coder, min_lrf, layers), lambda b: grammar.unlfs(b, coder, min_lrf, layers))
+def two_coders(lit, length) -> coders.Fixed:
+    if lit.name in coders.GROUPS["consuming"]:
+        raise WrongKind(f"{lit.name} holds literals back")
+    if length.name not in coders.GROUPS["universal"]:
+        raise WrongKind(f"{length.name} is no universal coder")
+    return coders.Two(lit, length)
 
-    return make
+
+def lfs_pair(layers: int, coder, min_lrf: int) -> Codec:
+    return Codec(lambda b: grammar.lfs(b, coder, min_lrf, layers), lambda b: grammar.unlfs(b, coder, min_lrf, layers))
+
+
+def lfs_one(computing_strat, coding_strat, min_lrf) -> Codec:
+    return lfs_pair(1, coding_strat, computing_strat if computing_strat != 2 else min_lrf)
+
+
+def lfs_two(min_lrf, exact, lfs2_lit_coder, lfs2_len_coder) -> Codec:
+    if exact:
+        raise UnknownOption("exact=true is not supported")
+    return lfs_pair(2, two_coders(lfs2_lit_coder, lfs2_len_coder), min_lrf)
+
+
+def only(kind: str, name: str, make: Callable, **values: object) -> Callable:
+    """A maker that takes an option only at the value given here."""
+
+    def check(**options):
+        for k, v in values.items():
+            if options.pop(k) != v:
+                raise UnknownOption(f"{k} of {name} is {v} only")
+        return make(**options)
+
+    return check
 
 
 TRIES = ("ternary", "binary", "binarysorted", "cedar", "hash", "hash_plus", "rolling", "rolling_plus", "exthash", "compact_sparse_hash", "judy")
 STRATEGIES = ("arrays", "heap", "max_lcp", "plcppeaks", "bheap", "plcp", "naive")
-DECODERS = ("scan", "compact", "multimap", "queue_list")
 CODER = {"coder": "coder"}
+#: Data structures of the same result: kind, name, options and their kinds.
+STRUCTURES = (
+    ("sa", "divsufsort", {}, {}), ("phi", "from_sa", {}, {}), ("plcp", "from_phi", {}, {}), ("lcp", "from_phi", {}, {}), ("lcp", "compressed_lcp", {"sa": "divsufsort"}, {"sa": "sa"}),
+    ("isa", "from_sa", {}, {}), ("isa", "sparse_isa", {"sa": "divsufsort", "t": 3}, {"sa": "sa"}),
+    *(("hash_function", n, {}, {}) for n in ("noop", "mixer", "vigna", "knuth")), *(("hash_manager", n, {}, {}) for n in ("pow", "prime", "direct", "noob")),
+    *(("hash_prober", n, {}, {}) for n in ("linear", "quad", "gauss")), *(("hash_roll", n, {}, {}) for n in ("zbackup", "wordpack", "rk")),
+    *(("trie", n, {}, {}) for n in TRIES if "hash" not in n and "rolling" not in n), *(("trie", n, {"load_factor": 30}, {}) for n in ("exthash", "compact_sparse_hash")),
+    ("trie", "hash", {"hash_function": "mixer", "hash_prober": "linear", "hash_manager": "pow", "load_factor": 30}, {"hash_function": "hash_function", "hash_prober": "hash_prober", "hash_manager": "hash_manager"}),
+    ("trie", "hash_plus", {"hash_function": "mixer", "hash_manager": "direct", "load_factor": 30}, {"hash_function": "hash_function", "hash_manager": "hash_manager"}),
+    ("trie", "rolling", {"hash_roller": "zbackup", "hash_prober": "linear", "hash_manager": "prime", "hash_function": "noop", "load_factor": 30}, {"hash_roller": "hash_roll", "hash_function": "hash_function", "hash_prober": "hash_prober", "hash_manager": "hash_manager"}),
+    ("trie", "rolling_plus", {"hash_roller": "zbackup", "hash_manager": "noob", "hash_function": "noop", "load_factor": 30}, {"hash_roller": "hash_roll", "hash_function": "hash_function", "hash_manager": "hash_manager"}),
+    ("dec", "scan", {"scans": 6}, {}), ("dec", "compact", {}, {}), ("dec", "QueueListBuffer", {}, {}), ("dec", "MultimapListBuffer", {"lazy": 0}, {}), ("dec", "multimap", {"lazy": 0}, {}), ("dec", "queue_list", {}, {}),
+    ("ipd", "std_unordered_map", {}, {}), ("ipd", "hash_map", {}, {}), ("ipd", "dynamic_size", {"ipd": "std_unordered_map"}, {"ipd": "ipd"}),
+)
+for _kind, _name, _options, _kinds in STRUCTURES:
+    register(Spec(_name, _kind, _options, _kinds, lambda _name=_name, **_: _name))
+
+
+def text_structures(compress: str, **_) -> str:
+    if compress not in ("plain", "none", "delayed", "compressed"):
+        raise UnknownOption(f"compress={compress} of textds is not known")
+    return "textds"
+
+
+register(Spec("textds", "textds", {"sa": "divsufsort", "phi": "from_sa", "plcp": "from_phi", "lcp": "from_phi", "isa": "from_sa", "compress": "delayed"}, {k: k for k in ("sa", "phi", "plcp", "lcp", "isa")}, text_structures))
 
 
 def choice(kind: str, names: tuple[str, ...], **options) -> None:
@@ -146,11 +194,8 @@ def choice(kind: str, names: tuple[str, ...], **options) -> None:
 
 for _name, _make in coders.CODERS.items():
     register(Spec(_name, "coder", {"kmer": 3} if _name == "sle" else {}, {}, _make, f"{_name} coder"))
-choice("trie", TRIES)
 choice("comp", STRATEGIES)
-choice("dec", DECODERS, scans=6)
-choice("textds", ("textds",), sa="divsufsort", phi="from_sa", plcp="from_phi", lcp="from_phi", isa="from_sa", compress="delayed")
-choice("ipd", ("std_unordered_map", "hash_map", "dynamic_size"))
+register(Spec("lfs_enocde_strat", "coder", {"lfs_lit_coder": "huff", "lfs_len_coder": "gamma"}, {"lfs_lit_coder": "coder", "lfs_len_coder": "coder"}, lambda lfs_lit_coder, lfs_len_coder: two_coders(lfs_lit_coder, lfs_len_coder), "literals by one coder, numbers by another"))
 
 
 def array_code(name: str) -> Callable:
@@ -163,12 +208,16 @@ def array_code(name: str) -> Callable:
     return make
 
 
+#: Options of single array codes that have but one value here.
+FIXED = {"succinct": {"dx_coder": "wavelet_tree"}, "range_fit": {"threshold": "none", "wt": False, "zero_min": False}}
 for _name in grammar.ARRAYS:
-    register(Spec(_name, "d_coding", {"subseq": "optimal"}, {}, array_code(_name)))
+    _fixed = FIXED.get(_name, {})
+    register(Spec(_name, "d_coding", {"subseq": "optimal", **_fixed}, {}, only("d_coding", _name, array_code(_name), **_fixed)))
 register(Spec("plain", "slp_coder", {}, {}, lambda: ("plain", "plain")))
-register(Spec("sorted", "slp_coder", {"d_coding": "plain"}, {"d_coding": "d_coding"}, lambda d_coding: ("sorted", d_coding)))
-for _name in ("esa", "st", "bst", "sim_st"):
+register(Spec("sorted", "slp_coder", {"d_coding": "plain", "dump_json": False, "dump_json_file": "-"}, {"d_coding": "d_coding"}, only("slp_coder", "sorted", lambda d_coding, dump_json_file: ("sorted", d_coding), dump_json=False)))
+for _name in ("st", "bst", "sim_st"):
     register(Spec(_name, "lfs_strat", {"min_lrf": 2}, {}, lambda min_lrf: min_lrf))
+register(Spec("esa", "lfs_strat", {"min_lrf": 2, "textds": "textds"}, {"textds": "textds"}, lambda min_lrf, textds: min_lrf))
 for _name in ("streaming", "buffering"):
     register(Spec(_name, "lz78u_strat", {"string_coder": "bit"}, {"string_coder": "coder"}, lambda string_coder: string_coder))
 
@@ -188,9 +237,9 @@ for _spec in (
     Spec("lz78u", "compressor", {"comp": "streaming", "coder": "bit", "threshold": 3}, {**CODER, "comp": "lz78u_strat"}, lambda comp, coder, threshold: Codec(lambda b: lz.lz78u(b, coder, threshold, comp), lambda b: lz.unlz78u(b, coder, threshold, comp)), "phrases that grow by suffix-tree edges"),
     Spec("repair", "compressor", {"coder": "bit", "max_rules": 0}, CODER, pair(grammar.repair, grammar.unrepair), "most frequent pairs"),
     Spec("esp", "compressor", {"slp_coder": "sorted", "ipd": "std_unordered_map"}, {"slp_coder": "slp_coder", "ipd": "ipd"}, lambda slp_coder, ipd: Codec(lambda b: grammar.esp(b, *slp_coder), lambda b: grammar.unesp(b, *slp_coder)), "edit-sensitive parsing"),
-    Spec("lfs_comp", "compressor", {"computing_strat": "esa", "coder": "huff", "min_lrf": 2}, {**CODER, "computing_strat": "lfs_strat"}, lfs_pair(1), "longest repeats substituted first"),
-    Spec("lfs2", "compressor", {"min_lrf": 5, "exact": False, "coder": "huff"}, CODER, lfs_pair(2), "the same in two layers"),
-    Spec("lfs2bst", "compressor", {"min_lrf": 5, "exact": False, "coder": "huff"}, CODER, lfs_pair(2), "the same in two layers"),
+    Spec("lfs_comp", "compressor", {"computing_strat": "esa", "coding_strat": "lfs_enocde_strat", "min_lrf": 2}, {"computing_strat": "lfs_strat", "coding_strat": "coder"}, lfs_one, "longest repeats substituted first"),
+    Spec("lfs2", "compressor", {"min_lrf": 5, "exact": False, "lfs2_lit_coder": "huff", "lfs2_len_coder": "gamma"}, {"lfs2_lit_coder": "coder", "lfs2_len_coder": "coder"}, lfs_two, "the same in two layers"),
+    Spec("lfs2bst", "compressor", {"min_lrf": 5, "exact": False, "lfs2_lit_coder": "huff", "lfs2_len_coder": "gamma"}, {"lfs2_lit_coder": "coder", "lfs2_len_coder": "coder"}, lfs_two, "the same in two layers"),
     Spec("fib", "generator", {"n": REQUIRED}, {}, generators.fibonacci, "Fibonacci word"),
     Spec("thue_morse", "generator", {"n": REQUIRED}, {}, generators.thue_morse, "Thue-Morse word"),
     Spec("run_rich", "generator", {"n": REQUIRED}, {}, generators.run_rich, "run-rich word"),
@@ -277,13 +326,23 @@ def combinations(most: int | None = None) -> list[str]:
     """Every compressor with every choice of its algorithm options, for the full test matrix."""
     from itertools import product
 
+    flat = {"coder", *(k for k, *_ in STRUCTURES), "textds"}
+
     def variants(kind: str) -> list[str]:
         out = []
         for (k, name), s in SPECS.items():
             if k != kind or name == "chain":
                 continue
-            parts = [[f"{o}={v}" for v in variants(inner)] for o, inner in s.kinds.items()]
+            # Choices inside data structures and coders keep their defaults: their number multiplies, the results are the same.
+            parts = [[f"{o}={v}" for v in variants(inner)] for o, inner in s.kinds.items()] if kind not in flat else []
             out += [f"{name}({', '.join(p)})" if p else name for p in product(*parts)]
         return out
 
-    return variants("compressor")[:most]
+    def valid(algorithm: str) -> bool:
+        try:
+            codec(algorithm)
+        except WrongKind:  # coders that the compressor can't take
+            return False
+        return True
+
+    return [a for a in variants("compressor") if valid(a)][:most]

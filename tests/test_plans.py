@@ -47,6 +47,29 @@ def test_nested_options_count():
             registry.codec(a)
 
 
+def test_option_surface():
+    """Options of data structures parse to any depth and change nothing; those that can't be honoured are errors."""
+    s = b"abcXabcYabcdefgh1abcdefgh2" * 4
+    run = lambda a: registry.codec(a).forward(s)
+    for one, other in (
+        ("lz78(bit, hash(hash_function=vigna, load_factor=50))", "lz78(bit)"), ("lzw(bit, hash_plus(hash_manager=prime))", "lzw(bit)"), ("lz78(bit, rolling(hash_roller=rk, hash_prober=linear, hash_manager=pow))", "lz78(bit)"),
+        ("lz78(bit, rolling_plus(wordpack))", "lz78(bit)"), ("lcpcomp(ascii, heap, QueueListBuffer)", "lcpcomp(ascii, heap)"), ("lcpcomp(ascii, heap, MultimapListBuffer(lazy=1))", "lcpcomp(ascii, heap, scan(scans=2))"),
+        ("bwt(textds(isa=sparse_isa(t=5), lcp=compressed_lcp(sa=divsufsort)))", "bwt"), ("bwt(textds(compress=plain))", "bwt"), ("esp(sorted(plain, dump_json=false), dynamic_size(hash_map))", "esp"),
+        ("esp(sorted(succinct(dx_coder=wavelet_tree)))", "esp(sorted(succinct))"), ("esp(sorted(range_fit(threshold=none, wt=false)))", "esp(sorted(range_fit))"), ("lfs_comp(esa(textds=textds), lfs_enocde_strat)", "lfs_comp"),
+    ):
+        assert run(one) == run(other) and registry.codec(one).backward(run(one)) == s, one
+    for a in ("lfs_comp(sim_st, lfs_enocde_strat(bit, delta))", "lfs_comp(st, lfs_enocde_strat(ascii, ascii))", "lfs2(lfs2_lit_coder=bit, lfs2_len_coder=gamma)", "lfs2bst(5, false, huff, delta)", "lfs_comp(coder=huff)"):
+        for t in (s, b"", b"\0\xffa" * 40):
+            assert registry.codec(a).backward(registry.codec(a).forward(t)) == t, a
+    assert len({run(f"lfs2(lfs2_lit_coder={x}, lfs2_len_coder={y})") for x in ("huff", "bit") for y in ("gamma", "delta")}) == 4
+    for a, error in (
+        ("bwt(textds(isa=nonsense))", parser.UnknownAlgorithm), ("bwt(textds(compress=nonsense))", parser.UnknownOption), ("lz78(bit, hash(hash_function=nonsense))", parser.UnknownAlgorithm), ("lfs2(lfs2_lit_coder=sle)", parser.WrongKind),
+        ("lfs2(lfs2_len_coder=huff)", parser.WrongKind), ("esp(sorted(succinct(dx_coder=huffman)))", parser.UnknownOption), ("esp(sorted(plain, dump_json=true))", parser.UnknownOption),
+    ):
+        with pytest.raises(error):
+            registry.codec(a)
+
+
 def test_columns(spark):
     df = spark.createDataFrame([(1, "banana" * 50), (2, ""), (3, None)], "id int, t string")
     out = df.select("id", registry.pack(F.col("t"), "bwt:rle:mtf:encode(huff)").alias("p"), registry.compress(F.col("t"), "lzw").alias("r")).withColumn("back", registry.unpack(F.col("p"))).orderBy("id").collect()
