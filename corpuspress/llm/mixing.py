@@ -44,6 +44,8 @@ DIMS = ("source", "lang", "topic")
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 #: Raking ends when no marginal is farther from its target, as a share of all tokens; fractions with a larger gap than LOOSE are lowered.
 TIGHT, LOOSE, MOST_SWEEPS, STEP = 1e-13, 1e-7, 400, 0.95
+#: Halvings in the search for a scale of targets.
+HALVINGS = 60
 FRACTION = 0.4
 
 
@@ -68,17 +70,33 @@ def featured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     )), mix
 
 
-def targets(tokens: dict[str, dict[str, float]], wanted: dict[str, dict[str, float]] | None = None, temper: dict[str, float] = TEMPER) -> dict[str, dict[str, float]]:
-    """Target share of each value: the wanted one if given, else the tempered natural share."""
+def targets(tokens: dict[str, dict[str, float]], wanted: dict[str, dict[str, float]] | None = None, temper: dict[str, float] = TEMPER, boost: float = float("inf")) -> dict[str, dict[str, float]]:
+    """Target share of each value: the wanted one if given, else the tempered natural share, but at most ``boost`` times the natural one."""
     out = {}
     for dim in DIMS:
-        own = (wanted or {}).get(dim)
+        own, whole = (wanted or {}).get(dim), sum(tokens[dim][v] for v in sorted(tokens[dim]))
         raw = {v: (own.get(v, 0.0) if own else (n ** temper[dim] if n > 0 else 0.0)) for v, n in tokens[dim].items()}
         total = sum(raw[v] for v in sorted(raw))
-        out[dim] = {v: x / total if total else 0.0 for v, x in raw.items()}
+        found = {v: x / total if total else 0.0 for v, x in raw.items()}
+        if not own and total and boost < float("inf"):
+            most = {v: boost * n / whole for v, n in tokens[dim].items()}
+            c = scale_of(lambda c, most=most, found=found: sum(min(most[v], c * found[v]) for v in sorted(found)))
+            found = {v: min(most[v], c * x) for v, x in found.items()}
+        out[dim] = found
     return out
 
 
+def scale_of(sum_at) -> float:
+    """The c, 1 or more, for which ``sum_at(c)``, which grows with it, is 1."""
+    low, high = 1.0, 2.0
+    while sum_at(high) < 1 - 1e-15 and high < 1e12:
+        low, high = high, 2 * high
+    for _ in range(HALVINGS):
+        middle = (low + high) / 2
+        low, high = (middle, high) if sum_at(middle) < 1 else (low, middle)
+    return high
+
+
 def rake(cells: list[tuple], aims: dict[str, dict[str, float]], most: float = float("inf")) -> tuple[np.ndarray, float]:
     """Weights of the cells (source, lang, topic, tokens), at most ``most`` each, and the largest gap of a marginal."""
     tokens = np.array([c[3] for c in cells], float)
@@ -108,14 +126,14 @@ def cells_of(features: DataFrame, mix: str) -> DataFrame:
     return features.groupBy(*(F.col(f"{mix}.{d}").alias(d) for d in DIMS)).agg(F.sum(f"{mix}.tokens").alias("tokens"))
 
 
-def fit_local(cells: list[tuple], wanted: dict | None, fraction: float, bounded: bool = True, temper: dict[str, float] = TEMPER) -> list[tuple]:
+def fit_local(cells: list[tuple], wanted: dict | None, fraction: float, bounded: bool = True, temper: dict[str, float] = TEMPER, boost: float = float("inf")) -> list[tuple]:
     """(source, lang, topic, weight, target fraction) of each cell."""
     cells = sorted((s, l, t, float(n)) for s, l, t, n in cells)
     sums: dict[str, dict[str, float]] = {d: {} for d in DIMS}
     for c in cells:
         for d, dim in enumerate(DIMS):
             sums[dim][c[d]] = sums[dim].get(c[d], 0.0) + c[3]
-    aims = targets(sums, wanted, temper)
+    aims = targets(sums, wanted, temper, boost)
     free, reachable = rake(cells, aims)
     total = sum(c[3] for c in cells)
     if bounded and total:  # a value's share of the sample can't be more than all of its tokens
@@ -153,7 +171,7 @@ def rake_spark(cells: DataFrame, aims: dict[str, DataFrame], total: float, most:
     return cells, gap
 
 
-def fit_spark(cells: DataFrame, wanted: dict | None, fraction: float, bounded: bool = True, temper: dict[str, float] = TEMPER) -> DataFrame:
+def fit_spark(cells: DataFrame, wanted: dict | None, fraction: float, bounded: bool = True, temper: dict[str, float] = TEMPER, boost: float = float("inf")) -> DataFrame:
     """``fit_local`` for any number of cells."""
     spark, cells = cells.sparkSession, common.written(cells.withColumn("tokens", F.col("tokens").cast("double")), "cells")
     total = cells.agg(F.sum("tokens")).first()[0] or 0.0
@@ -164,6 +182,10 @@ def fit_spark(cells: DataFrame, wanted: dict | None, fraction: float, bounded: b
         raw = sums.join(spark.createDataFrame([(v, float(x)) for v, x in own.items()], f"{dim} string, raw double"), dim, "left").fillna(0.0, ["raw"]) if own else sums.withColumn("raw", F.when(F.col("n") > 0, F.pow("n", F.lit(temper[dim]))).otherwise(0.0))
         raw = common.written(raw, "aims")
         whole = raw.agg(F.sum("raw")).first()[0] or 0.0
+        if not own and whole and boost < float("inf"):
+            most = F.col("n") * (boost / total)
+            c = scale_of(lambda c, raw=raw, most=most, whole=whole: raw.agg(F.sum(F.least(most, F.col("raw") * (c / whole)))).first()[0])
+            raw, whole = raw.withColumn("raw", F.least(most, F.col("raw") * (c / whole))), 1.0
         aims[dim] = raw.select(dim, (F.col("raw") / whole if whole else F.lit(0.0)).alias("aim"))
         rooms.append(raw.where("raw > 0 AND n > 0").agg(F.min(F.col("n") / F.col("raw"))).first()[0])
         rooms[-1] = rooms[-1] * whole / total if rooms[-1] and total else fraction
@@ -184,15 +206,15 @@ def fit_spark(cells: DataFrame, wanted: dict | None, fraction: float, bounded: b
 WEIGHTS = T.StructType([*(T.StructField(d, T.StringType()) for d in DIMS), T.StructField("weight", T.DoubleType()), T.StructField("fraction", T.DoubleType())])
 
 
-def weighted(features: DataFrame, mix: str, wanted: dict | None = None, fraction: float = FRACTION, bounded: bool = True, temper: dict[str, float] = TEMPER, most_cells: int = 100_000, salts: int = 32) -> DataFrame:
+def weighted(features: DataFrame, mix: str, wanted: dict | None = None, fraction: float = FRACTION, bounded: bool = True, temper: dict[str, float] = TEMPER, boost: float = float("inf"), most_cells: int = 100_000, salts: int = 32) -> DataFrame:
     """``featured`` rows whose struct also has weight, probability, sampled, and copies, which are fraction * weight on average."""
     cells = common.written(cells_of(features, mix), "cells")
     if cells.count() <= most_cells:
-        found = features.sparkSession.createDataFrame(fit_local([tuple(r) for r in cells.collect()], wanted, fraction, bounded, temper), WEIGHTS)
+        found = features.sparkSession.createDataFrame(fit_local([tuple(r) for r in cells.collect()], wanted, fraction, bounded, temper, boost), WEIGHTS)
         salt, found = F.lit(0), F.broadcast(found.withColumn("salt", F.lit(0)))
     else:
         salt = F.pmod(F.xxhash64(f"{mix}.u", f"{mix}.tokens"), F.lit(salts)).cast("int")
-        found = fit_spark(cells, wanted, fraction, bounded, temper).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        found = fit_spark(cells, wanted, fraction, bounded, temper, boost).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     names = [F.col(f"`{c}`") for c in features.columns if c != mix]
     (fit,) = common.free(features.columns, "fit")
     found = found.select(F.struct(*DIMS, "salt").alias(fit), F.struct("weight", "fraction").alias(fit + "ted"))
@@ -204,10 +226,10 @@ def weighted(features: DataFrame, mix: str, wanted: dict | None = None, fraction
     return joined.select(*names, more.alias(mix))
 
 
-def sample(docs: DataFrame, wanted: dict | None = None, fraction: float = FRACTION, temper: dict[str, float] = TEMPER, **columns: str) -> DataFrame:
+def sample(docs: DataFrame, wanted: dict | None = None, fraction: float = FRACTION, temper: dict[str, float] = TEMPER, boost: float = float("inf"), **columns: str) -> DataFrame:
     """The documents that are sampled, with their own columns."""
     features, mix = featured(docs, **columns)
-    return weighted(features, mix, wanted, fraction, temper=temper).where(f"{mix}.sampled").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return weighted(features, mix, wanted, fraction, temper=temper, boost=boost).where(f"{mix}.sampled").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def repeated(features: DataFrame, mix: str, wanted: dict | None = None, fraction: float = FRACTION, **bounds: int) -> DataFrame:

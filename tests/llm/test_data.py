@@ -98,8 +98,11 @@ def test_mixing(spark):
 def test_many_cells(spark, monkeypatch):
     """The fit on the driver and the one by aggregations are the same, sweep for sweep."""
     monkeypatch.setattr(mixing, "MOST_SWEEPS", 3)
+    monkeypatch.setattr(mixing, "HALVINGS", 5)
     features, mix = mixing.featured(messy(spark))
     cells = [tuple(r) for r in mixing.cells_of(features, mix).collect()]
+    capped = [{r[:3]: r[3:] for r in f} for f in (mixing.fit_local(cells, None, 0.5, False, boost=1.1), [tuple(r) for r in mixing.fit_spark(mixing.cells_of(features, mix), None, 0.5, False, boost=1.1).collect()])]
+    assert capped[0].keys() == capped[1].keys() and all(np.allclose(capped[0][k], capped[1][k], rtol=1e-7) for k in capped[0])
     local = {r[:3]: r[3:] for r in mixing.fit_local(cells, None, 0.5, bounded=False)}
     few = {tuple(r[mix][d] for d in mixing.DIMS): (r[mix]["weight"], r[mix]["probability"]) for r in mixing.weighted(features, mix, fraction=0.5, bounded=False, most_cells=1).collect()}
     assert few.keys() == local.keys() and all(abs(few[k][0] - w) < 1e-9 and abs(few[k][1] - min(1, w * f)) < 1e-9 for k, (w, f) in local.items())
@@ -135,6 +138,14 @@ def test_marginals_are_met(fraction):
     assert least == fraction if fraction < 0.2 else least <= room + 1e-9
 
 
+def test_boost_bounds_the_targets():
+    tokens = {"source": {"a": 1000.0, "b": 10.0, "c": 1.0, "d": 0.0}, "lang": {"x": 5.0}, "topic": {"p": 3.0, "q": 1.0}}
+    got = mixing.targets(tokens, boost=1.25)
+    for dim, shares in got.items():
+        whole = sum(tokens[dim].values())
+        assert abs(sum(shares.values()) - 1) < 1e-9 and all(x <= 1.25 * tokens[dim][v] / whole + 1e-12 for v, x in shares.items())
+
+
 def test_targets_without_tokens():
     """A target that no weight meets: what can be met is, and nothing runs on."""
     got = mixing.fit_local([("a", "x", "p", 100.0), ("b", "x", "p", 0.0), ("b", "y", "p", 50.0)], {"source": {"a": 1, "b": 1}, "lang": {"x": 9, "y": 1}}, 0.5)
