@@ -22,6 +22,8 @@ from corpuspress.session import attach
 LEAST_SCORE = 0.3
 #: Exponents of the natural shares that give the target shares: milder than in op3, so that more can stay.
 MIX_TEMPER = {"source": 0.9, "lang": 0.9, "topic": 0.9}
+#: No value's target is over so many times its natural share: rare values would decide how little can stay.
+MIX_BOOST = 1.25
 #: Share of the tokens that the mixing stage tries first; it is lowered until the targets can be met.
 MIX_FRACTION = 0.9
 
@@ -67,7 +69,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     like others of their values; rows that share an id are drawn together.
     """
     attach(spark)
-    return mixing.sample(docs, fraction=MIX_FRACTION, temper=MIX_TEMPER)
+    return mixing.sample(docs, fraction=MIX_FRACTION, temper=MIX_TEMPER, boost=MIX_BOOST)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
