@@ -14,7 +14,8 @@ Defined cases: a null text is an empty one; a text of fewer than three words is
 one shingle, one without words has the empty fingerprint; two empty fingerprints
 are alike (1), an empty and another are not (0); rows that share an id follow one
 another in the order of their texts; a null id comes last; a single document is
-its own successor; an empty table gives no rows; other columns are not read.
+its own successor; a very long text is one row, held with its successor; an empty
+table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 
 from . import common
 
-K, WIDTH = 64, 3
+K, WIDTH = 128, 3
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 LOW48 = np.uint64((1 << 48) - 1)
 
@@ -123,10 +124,23 @@ def containment(a: str, b: str, k: int = K) -> float:
     return min(1.0, both / n) if n else 1.0
 
 
+def sizes(first: np.ndarray, hashes: np.ndarray, k: int = K) -> np.ndarray:
+    """Estimated number of distinct shingles behind each sketch; exact below k."""
+    n = np.diff(first)
+    out, full = n.astype(float), np.flatnonzero(n >= k)
+    out[full] = (k - 1) / ((hashes[first[full] + k - 1].astype(float) + 1) / 2.0**48)
+    return out
+
+
 def likeness(fa: np.ndarray, a: np.ndarray, fb: np.ndarray, b: np.ndarray, k: int = K) -> np.ndarray:
     """Estimated Jaccard of the sketches fa[i]:fa[i + 1] of a and the same of b, for all i."""
+    return compared(fa, a, fb, b, k)[0]
+
+
+def compared(fa: np.ndarray, a: np.ndarray, fb: np.ndarray, b: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    """``likeness``, and the estimated share of a's shingles that b has, from the merged sketches."""
     n = len(fa) - 1
-    out = np.zeros(n)
+    out, whole = np.zeros(n), np.zeros(n)
     for at in range(0, n, 1 << 16):
         end = min(n, at + (1 << 16))
         parts = []
@@ -142,7 +156,14 @@ def likeness(fa: np.ndarray, a: np.ndarray, fb: np.ndarray, b: np.ndarray, k: in
         union = np.minimum(np.diff(begin), most)
         both = np.bincount(own[low], times[low] == 2, end - at)
         out[at:end] = np.where(union > 0, both / np.maximum(union, 1), 1.0)
-    return out
+        # The merged sketch: the smallest of both, all of them where both hold whole sets.
+        held = np.diff(begin)
+        part = held > most
+        whole[at:end] = held
+        full = np.flatnonzero((held >= k) & (part | (most == k)))
+        whole[at + full] = (k - 1) / (((key[begin[full] + k - 1] & LOW48).astype(float) + 1) / 2.0**48)
+    own = sizes(fa, a, k)
+    return out, np.where(own > 0, np.minimum(1.0, out * whole / np.maximum(own, 1)), 1.0)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
@@ -192,7 +213,11 @@ def in_order(docs: DataFrame, rows_a_range: int = 2500) -> DataFrame:
 
 
 def with_successor(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
-    """Fingerprints of each text and its edited text (its second half replaced by as much of its successor's beginning)."""
+    """Fingerprints of each text and its edited text (its second half replaced by as much of its successor's beginning).
+
+    Estimates: ``near_edited`` and ``near_next`` (resemblance), ``n_shingles`` (distinct shingles), ``kept_in_edited``
+    (the share of the text's shingles that the edited text has).
+    """
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,15 +236,16 @@ def with_successor(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             f, h = sketches(pa.array(texts, pa.string()), k)
             fe, he = sketches(pa.array(edited, pa.string()), k)
             own, after = select(f, h, np.array(rows, np.int64)), select(f, h, np.array(rows, np.int64) + 1)
+            near, kept = compared(*own, fe, he, k)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([ids[i] for i in rows], pa.int64()), pa.array(size, pa.int64()), pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited], pa.string()),
-                    pa.array(to_strings(*own), pa.string()), pa.array(to_strings(fe, he), pa.string()), pa.array(likeness(*own, fe, he, k)), pa.array(likeness(*own, *after, k)),
+                    pa.array(to_strings(*own), pa.string()), pa.array(to_strings(fe, he), pa.string()), pa.array(near), pa.array(likeness(*own, *after, k)), pa.array(sizes(*own, k)), pa.array(kept),
                 ],
-                ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+                ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_shingles", "kept_in_edited"],
             )
 
-    return in_order(source).mapInArrow(run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return in_order(source).mapInArrow(run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_shingles double, kept_in_edited double")
 
 
 def select(first: np.ndarray, hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -58,6 +58,17 @@ def test_successors(spark, rows_a_range, monkeypatch):
         w = exact.get((r["doc_id"], r["n_chars"], r["edited_sha256"]))
         if small(r) and w is not None and len(r["fingerprint"]) < 512 and len(r["edited_fingerprint"]) < 512:
             assert abs(r["near_edited"] - w) < 1e-9
+    nexts = Counter((k[0], k[1], k[2], round(k[4], 9)) for k in want.elements() if k[4] is not None)
+    got_next = Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], round(r["near_next"], 9)) for r in got)
+    assert not nexts - got_next and sum(nexts.values()) > 10
+    exact = {(k, len(t), hashlib.sha256((t[: len(t) - len(t) // 2] + rows[(i + 1) % len(rows)][1][: len(t) // 2]).encode()).hexdigest()): (shingles(t), shingles(t[: len(t) - len(t) // 2] + rows[(i + 1) % len(rows)][1][: len(t) // 2])) for i, (k, t) in enumerate(rows)}
+    for r in got:
+        a, b = exact[r["doc_id"], r["n_chars"], r["edited_sha256"]]
+        share = len(a & b) / len(a) if a else 1.0
+        if len(a) < fingerprints.K and len(b) < fingerprints.K:
+            assert r["n_shingles"] == len(a) and abs(r["kept_in_edited"] - share) < 1e-9
+        else:
+            assert abs(r["n_shingles"] / len(a) - 1) < 0.4 and abs(r["kept_in_edited"] - share) < 0.3 and abs(r["near_edited"] - jaccard(a, b)) < 0.25
     equal = defaultdict(set)
     for r in fingerprints.fingerprints(df).join(df.select("doc_id", "text"), "doc_id").collect():
         if r["doc_id"] != 9:
