@@ -21,5 +21,6 @@ ORACLES = {
     "op1_quality_rules": quality_rules.OP1_SQL,
     "op2_warc_boundary_chain": warc.OP2_SQL,
     "op3_mixing": mixing.OP3_SQL,
+    "op8_suffix_array_dedup": substring_dedup.OP8_SQL,
     "op9_minhash_near_dedup": near_dedup.OP9_SQL,
 }

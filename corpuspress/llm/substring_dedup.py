@@ -579,3 +579,18 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(common.read(spark, sf_dir, "documents"))
+
+
+#: The same by all windows of 200 bytes.
+OP8_SQL = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT rid, i, md5(b[i + 1:i + 200]) AS m FROM (SELECT rid, b, unnest(range(0, CAST(octet_length(b) - 199 AS BIGINT))) AS i FROM d WHERE octet_length(b) >= 200)),
+c AS (SELECT rid, i FROM w QUALIFY count(*) OVER (PARTITION BY m) > 1),
+g AS (SELECT rid, i, sum(CASE WHEN i <= before + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY i) AS run FROM (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS before FROM c)),
+r AS (SELECT rid, min(i) AS lo, max(i) + 200 AS hi FROM g GROUP BY rid, run),
+p AS (SELECT rid, lo, hi, coalesce(lag(hi) OVER (PARTITION BY rid ORDER BY lo), 0) AS last FROM r),
+s AS (SELECT rid, sum(hi - lo) AS n_removed, count(*) AS n_spans, max(hi) AS finish, string_agg(CASE WHEN lo > last THEN hex(b[last + 1:lo]) ELSE '' END, '' ORDER BY lo) AS kept FROM p JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(CASE WHEN kept IS NULL THEN b WHEN finish < octet_length(b) THEN unhex(kept || hex(b[finish + 1:octet_length(b)])) ELSE unhex(kept) END) AS kept_sha256
+FROM d LEFT JOIN s USING (rid)
+"""

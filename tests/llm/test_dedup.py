@@ -351,6 +351,10 @@ def test_cut_texts(spark):
     assert 18 not in kept and None in {r["text"] for r in rows}
 
 
+def test_repeats_sql(spark):
+    compare_with_sql(spark, substring_dedup.op8_suffix_array_dedup, substring_dedup.OP8_SQL)
+
+
 def test_queries_cover_every_document(spark):
     from corpuspress.llm.queries import QUERIES
 
