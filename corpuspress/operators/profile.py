@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coders import code_lengths
+from .index import indexed
 from .transforms import rle, run_starts
 
 
@@ -129,3 +130,50 @@ def sle_ranking(df: DataFrame, group: list[str], text_col: str = "text") -> Data
 
     w = Window.partitionBy(*group).orderBy(F.desc("n"), "c")
     return byte_histogram(df, group, text_col).withColumn("rank", (F.row_number().over(w) - 1).cast("bigint"))
+
+
+def characteristics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What says how compressible a text is: alphabet, largest and average common prefix, runs of the transform, phrases of the exact parse, entropies of order 0 to 3.
+
+    Null texts have no row; an empty one has zeros (its closing zero alone is one run and one phrase).
+    """
+    source = df.select(F.col(id_col), F.col(text_col).cast("binary").alias("__b")).where("__b IS NOT NULL")
+    key = source.schema[0]
+    names = ["sigma", "max_lcp", "avg_lcp", "bwt_runs", "z", "h0", "h1", "h2", "h3"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column(1).to_pylist()
+            for at, x in indexed(raw):
+                first = x.offsets[:-1]
+                n, part = len(first), raw[at : at + len(first)]
+                change = np.append(True, x.bwt[1:] != x.bwt[:-1])
+                change[first] = True
+                longest, z = x.lpf.tolist(), []
+                for a, b in zip(first.tolist(), x.offsets[1:].tolist()):
+                    count = 0
+                    while a < b:
+                        a += max(1, longest[a])
+                        count += 1
+                    z.append(count)
+                size = np.array([len(t) for t in part])
+                doc = np.repeat(np.arange(n), size)
+                data = np.frombuffer(b"".join(part), np.uint8).astype(np.int64)
+                sigma, orders, code = np.zeros(n, np.int64), [], doc
+                for k in range(4):
+                    m = len(data) - k
+                    code = code[:m] * 256 + data[k:] if m > 0 else code[:0]
+                    inside = code[doc[:m] == doc[k:]] if m > 0 else code
+                    grams, times = np.unique(inside, return_counts=True)
+                    own = grams >> (8 * (k + 1))
+                    _, context = np.unique(grams >> 8, return_inverse=True)
+                    whole = np.bincount(context, times)[context] if len(grams) else times
+                    orders.append(np.bincount(own, times * np.log2(whole / times), n) / np.maximum(size, 1))
+                    if k == 0:
+                        sigma = np.bincount(own, minlength=n)
+                lcp = np.maximum.reduceat(x.lcp, first), np.add.reduceat(x.lcp, first) / np.diff(x.offsets)
+                columns = [sigma, lcp[0], lcp[1], np.add.reduceat(change.astype(np.int64), first), np.array(z), *orders]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), *(pa.array(c) for c in columns)], [key.name, *names])
+
+    kinds = ["bigint", "bigint", "double", "bigint", "bigint", *["double"] * 4]
+    return source.mapInArrow(run, f"`{key.name}` {key.dataType.simpleString()}, " + ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))

@@ -240,6 +240,11 @@ def document_bwt_statistics(spark, sf_dir):
     return index.bwt_runs(texts(spark, sf_dir), "doc_id", "text").withColumn("avg_lcp", F.round("avg_lcp", 9))
 
 
+@query()
+def text_characteristics(spark, sf_dir):
+    return profile.characteristics(texts(spark, sf_dir))
+
+
 @query(f"""{SUFFIXES}, v AS (SELECT id, CASE WHEN y IS NULL THEN 0 ELSE {_LCE} END AS lcp FROM (SELECT *, lag(x) OVER (PARTITION BY id ORDER BY i) AS y FROM s))
 SELECT CAST(t.threshold AS BIGINT) AS threshold, count(*) AS n_entries FROM v JOIN range(1, 41) t(threshold) ON v.lcp >= t.threshold GROUP BY ALL""")
 def threshold_sweep(spark, sf_dir):

@@ -59,3 +59,31 @@ def test_only_what_is_asked_for():
     assert index.closure(("plcp",)) == ["sa", "lcp", "plcp"]
     with pytest.raises(ValueError):
         index.closure(("nothing",))
+
+
+def test_characteristics(spark):
+    """All columns against the definitions, over texts of all kinds in one batch."""
+    from math import log2
+
+    from corpuspress.operators import profile
+
+    rng = random.Random(3)
+    rows = [(0, None), (1, ""), (2, "a"), (3, "ab" * 40), (4, "banana"), *((i, "".join(rng.choice("abc é") for _ in range(rng.randrange(60)))) for i in range(5, 25))]
+    got = {r["doc_id"]: r for r in profile.characteristics(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got.keys() == {k for k, t in rows if t is not None}
+    for k, text in rows[1:]:
+        raw = text.encode()
+        t = escape(raw)
+        sa, lcp, lce = naive(t)
+        z = i = 0
+        while i < len(t):
+            i += max([1, *(lce(j, i) for j in range(i))])
+            z += 1
+        bwt = [t[p - 1] for p in sa]
+        r = got[k]
+        assert (r["sigma"], r["max_lcp"], r["bwt_runs"], r["z"]) == (len(set(raw)), max(lcp), 1 + sum(a != b for a, b in zip(bwt, bwt[1:])), z), text
+        assert abs(r["avg_lcp"] - sum(lcp) / len(t)) < 1e-9
+        for order in range(4):
+            grams = [raw[i : i + order + 1] for i in range(len(raw) - order)]
+            bits = sum(log2(sum(h[:-1] == g[:-1] for h in grams) / grams.count(g)) for g in grams)
+            assert abs(r[f"h{order}"] - bits / max(1, len(raw))) < 1e-9
