@@ -7,7 +7,9 @@ independent, so there is no shuffle: one Arrow pass over the texts.
 
 Defined cases: a null text is an empty one; a text without words has zeros in
 every count and fails the base rule; rows that repeat, or share or lack an id,
-are judged each on its own; other columns of the input are not read.
+are judged each on its own; a very long text is one suffix array (some 100 bytes
+of memory a word); an empty table gives no rows; other columns of the input are
+not read.
 """
 
 from __future__ import annotations
@@ -54,20 +56,35 @@ def per_range(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return total[ends] - total[starts]
 
 
+def innermost(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """For each of n slots the number of the smallest of nested intervals that holds it, -1 if none does; linear however deep they nest."""
+    mark, ends, stack = [-2] * (n + 1), right.tolist(), []
+    begins = left.tolist()
+    for j in np.lexsort((-right, left)).tolist():
+        while stack and ends[stack[-1]] < begins[j]:
+            at = ends[stack.pop()] + 1
+            mark[at] = stack[-1] if stack else -1
+        stack.append(j)
+        mark[begins[j]] = j
+    while stack:
+        at = ends[stack.pop()] + 1
+        mark[at] = stack[-1] if stack else -1
+    value = np.array(mark[:n], np.int64)
+    known = np.maximum.accumulate(np.where(value > -2, np.arange(n), -1))
+    return np.where(known >= 0, value[np.maximum(known, 0)], -1)
+
+
 def spans_covered(sa: np.ndarray, left: np.ndarray, right: np.ndarray, deep: np.ndarray, n: int) -> np.ndarray:
     """Marks each position in the union of the spans of all occurrences of the intervals.
 
-    Intervals are nested and the scan emits the inner one first: marked in the
-    reverse order, each slot of the array keeps the longest of its spans, which
-    begin at the same position.
+    The intervals around a slot of the array are nested, and their spans begin at
+    the same position: the innermost one has the longest.
     """
-    size = np.zeros(n, np.int64)
-    for a, b, d in zip(left[::-1].tolist(), (right[::-1] + 1).tolist(), deep[::-1].tolist()):
-        size[a:b] = d
-    hit = np.flatnonzero(size)
+    own = innermost(left, right, n)
+    hit = np.flatnonzero(own >= 0)
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, sa[hit], 1)
-    np.add.at(edge, sa[hit] + size[hit], -1)
+    np.add.at(edge, sa[hit] + deep[own[hit]], -1)
     return np.cumsum(edge[:-1]) > 0
 
 

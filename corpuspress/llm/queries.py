@@ -15,6 +15,8 @@ QUERIES = {
     "op8_suffix_array_dedup": substring_dedup.op8_suffix_array_dedup,
     "op9_minhash_near_dedup": near_dedup.op9_minhash_near_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    # op8's groups with all occurrences, of which op8 cuts the union.
+    "maximal_repeat_groups": substring_dedup.maximal_repeat_groups,
 }
 
 ORACLES = {

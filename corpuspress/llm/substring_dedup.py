@@ -581,6 +581,13 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(common.read(spark, sf_dir, "documents"))
 
 
+def maximal_repeat_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each maximal repeat of op8 over ``documents``: its length, how often it is there, and its first place."""
+    found = maximal_repeats(common.read(spark, sf_dir, "documents"))
+    rows = found.groupBy("repeat").agg(F.max(F.col("hi") - F.col("lo")).cast("bigint").alias("n_bytes"), F.count("*").alias("n_occurrences"), F.min(F.struct("doc_id", "lo")).alias("first"))
+    return rows.select("n_bytes", "n_occurrences", F.col("first.doc_id").alias("doc_id"), F.col("first.lo").cast("bigint").alias("start"))
+
+
 #: The same by all windows of 200 bytes.
 OP8_SQL = """
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
