@@ -53,7 +53,7 @@ def sample(df: DataFrame, most_bytes: int, seed: int = 1, id_col: str = "doc_id"
     """Documents in a seeded random order as long as they add up to at most ``most_bytes``."""
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
     size = F.coalesce(F.octet_length(text_col), F.lit(0))
-    return running_bytes(df.withColumn("order_key", order), F.substring("order_key", 1, 3), [F.col("order_key")], size).where(F.col("cum_bytes") <= most_bytes)
+    return running_bytes(df.withColumn("order_key", order), F.substring("order_key", 1, 4), [F.col("order_key")], size).where(F.col("cum_bytes") <= most_bytes)
 
 
 def links(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -98,3 +98,22 @@ def test_own_compressor():
 
 def test_listing(spark):
     assert registry.list_algorithms(spark).where("kind = 'compressor'").count() >= 18
+
+
+def test_pipes(tmp_path):
+    """Standard input to standard output and back, with and without a header, and the sizes that -s prints."""
+    import json
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    call = lambda data, *args: subprocess.run([sys.executable, "-m", "corpuspress", *args], input=data, capture_output=True, check=True, cwd=root)
+    text = b"piped \0 through \xff and back " * 9
+    packed = call(text, "-a", "lz78(huff)", "--usestdin", "--usestdout", "-s")
+    stats = json.loads(packed.stderr)["stats"]
+    assert packed.stdout.startswith(b"lz78(") and (int(stats["inputSize"]), int(stats["outputSize"])) == (len(text), len(packed.stdout))
+    assert call(packed.stdout, "-d", "-", "-o", "-").stdout == text
+    call(text, "-a", "bwt:rle", "--raw", "-", "-o", str(tmp_path / "blob"))
+    assert call((tmp_path / "blob").read_bytes(), "-d", "-a", "bwt:rle", "--raw", "-").stdout == text
+    assert b"corpuspress" in call(b"", "-v").stdout
