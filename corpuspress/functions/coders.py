@@ -448,8 +448,13 @@ def ranking(literals: bytes, k: int) -> list[bytes]:
         sigma = len(single)
         bits = bits_for(sigma - 1)
         eta = (1 << (bits + (1 if 1 << bits == sigma else 2))) - sigma
-        grams = Counter(bytes(literals[i : i + k]) for i in range(len(literals) - k + 1))
-        symbols += [(n, g) for g, n in sorted(grams.items(), key=lambda x: (-x[1], x[0]))[:eta]]
+        data, m = np.frombuffer(literals, np.uint8).astype(np.int64), len(literals) - k + 1
+        code = np.zeros(max(m, 0), np.int64)
+        for j in range(k if m > 0 else 0):
+            code = code << 8 | data[j : j + m]
+        grams, times = np.unique(code, return_counts=True)
+        first = np.argsort(-times, kind="stable")[:eta]
+        symbols += [(n, g.to_bytes(k, "big")) for g, n in zip(grams[first].tolist(), times[first].tolist())]
     return [s for _, s in sorted(symbols, key=lambda x: (-x[0], len(x[1]), x[1]))]
 
 
