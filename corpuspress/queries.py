@@ -54,7 +54,14 @@ def language_entropy(spark, sf_dir):
     return text_profile(spark, sf_dir).drop("huff_bits")
 
 
-@query()
+#: Huffman codes cost the sum of the weights that merging the two lightest nodes makes; l: sorted weights.
+_MERGE = """m AS (SELECT {0}, l, CAST(0 AS HUGEINT) AS bits FROM w UNION ALL
+  SELECT {0}, list_sort(list_append(l[3:], l[1] + l[2])), bits + l[1] + l[2] FROM m WHERE len(l) > 1)"""
+
+
+@query(f"""WITH RECURSIVE {BYTES[5:]}, h AS (SELECT lang, c, count(*) AS n FROM y GROUP BY ALL), w AS (SELECT lang, list_sort(list(n)) AS l FROM h GROUP BY lang), {_MERGE.format("lang")},
+p AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n_bytes, count(*) AS sigma, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 9) AS h0 FROM h GROUP BY lang)
+SELECT lang, n_bytes, sigma, h0, round(CASE WHEN sigma > 1 THEN CAST(bits AS DOUBLE) ELSE n_bytes END / n_bytes, 9) AS huff_bits FROM p JOIN m USING (lang) WHERE len(l) = 1""")
 def text_profile(spark, sf_dir):
     return profile.text_profile(texts(spark, sf_dir), ["lang"])
 
@@ -134,7 +141,8 @@ def huffman_code_lengths(spark, sf_dir):
     return profile.code_table(profile.byte_histogram(texts(spark, sf_dir), ["lang"]), ["lang"])
 
 
-@query()
+@query(f"""WITH RECURSIVE {BYTES[5:]}, h AS (SELECT doc_id, c, count(*) AS n FROM y GROUP BY ALL), w AS (SELECT doc_id, list_sort(list(n)) AS l FROM h GROUP BY doc_id), {_MERGE.format("doc_id")}
+SELECT d.doc_id, CAST(CASE WHEN bits > 0 THEN bits ELSE 8 * strlen(text) END AS BIGINT) AS huff_bits FROM documents d LEFT JOIN (SELECT * FROM m WHERE len(l) = 1) m ON m.doc_id = d.doc_id WHERE text IS NOT NULL""")
 def huffman_document_bits(spark, sf_dir):
     return profile.per_text(texts(spark, sf_dir), "doc_id", "text", {"huff_bits": "bigint"}, lambda b: (profile.huffman_bits(b),))
 
@@ -412,13 +420,33 @@ def compressed_lcp_bits(spark, sf_dir):
     return found.select("id", step.alias("step")).groupBy("id").agg((F.sum(F.col("step") + 1) + F.count("*")).alias("n_bits"))
 
 
-@query()
+def _times(v: str, factor: int) -> str:
+    return f"CAST((CAST({v} AS UHUGEINT) * {factor}::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT)"
+
+
+def _signed(v: str) -> str:
+    return f"CAST(CASE WHEN {v} >= 9223372036854775808::UBIGINT THEN CAST({v} AS HUGEINT) - 18446744073709551616::HUGEINT ELSE CAST({v} AS HUGEINT) END AS BIGINT)"
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, CAST(o_orderkey AS UBIGINT) AS v FROM orders),
+a AS (SELECT *, {_times("v", 0x9E3779B97F4A7C15)} AS k, {_times("xor(v, v >> 30)", 0xBF58476D1CE4E5B9)} AS x, {_times("xor(v, v >> 33)", 0xFF51AFD7ED558CCD)} AS y FROM o),
+b AS (SELECT o_orderkey, k, {_times("xor(x, x >> 27)", 0x94D049BB133111EB)} AS x, {_times("xor(y, y >> 33)", 0xC4CEB9FE1A85EC53)} AS y FROM a),
+c AS (SELECT o_orderkey, k, xor(x, x >> 31) AS x, xor(y, y >> 33) AS y FROM b)
+SELECT o_orderkey, {_signed("k")} AS knuth, {_signed("x")} AS vigna, {_signed("y")} AS mixer FROM c""")
 def hash_functions(spark, sf_dir):
     v = F.col("o_orderkey")
     return table(spark, sf_dir, "orders").select("o_orderkey", hashes.knuth(v).alias("knuth"), hashes.vigna(v).alias("vigna"), hashes.mixer(v).alias("mixer"))
 
 
-@query()
+def _rolled(k: int = 8) -> str:
+    out = "0::BIGINT"
+    for j in range(1, k + 1):
+        out = f"(({out}) * 257 + CAST('0x' || hex(b[i + {j}:i + {j}]) AS BIGINT)) % 2147483647"
+    return out
+
+
+@query(f"""SELECT item_id, i, {_rolled()} AS hash FROM (SELECT item_id, b, unnest(range(0, CAST(octet_length(b) - 7 AS BIGINT))) AS i
+  FROM (SELECT item_id, encode(text) AS b FROM benchmark WHERE text IS NOT NULL) WHERE octet_length(b) >= 8)""")
 def rolling_hashes(spark, sf_dir):
     return relations.rows_of_texts(texts(spark, sf_dir, "benchmark"), "item_id", "text", ("i", "hash"), lambda b: enumerate(hashes.rabin_karp(b, 8).tolist()))
 
