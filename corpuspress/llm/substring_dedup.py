@@ -53,7 +53,7 @@ from . import anchors as anch
 from . import common, suffix
 from .fingerprints import mixed
 
-LENGTH, SALTS, RANGES = 200, 16, 8
+LENGTH, SALTS, RANGES = 200, 128, 8
 SLICE, WINDOW = 256 << 10, 1 << 20
 #: Distinct contexts of an anchor that one task takes at most.
 MOST_CONTEXTS = 10_000
