@@ -4,6 +4,7 @@ import os
 import random
 import subprocess
 import sys
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -95,6 +96,16 @@ def test_mixing(spark):
     assert mixing.weighted(empty, mix).count() == 0
 
 
+def test_topics_of_odd_texts(spark):
+    """A run of letters is read once, not from each of its letters; letters that fold to others count as in the SQL."""
+    texts = ["a" * 1_000_000, "a" * 300_000 + "@b", "licen\u017fe", "COPYRIGHT", "a |b\n| c", "| c |", "1 23 456", None, ""]
+    features, mix = mixing.featured(spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string"))
+    began = time.time()
+    got = {r["doc_id"]: tuple(r[mix])[2:4] for r in features.collect()}
+    assert time.time() - began < 30
+    assert [got[i] for i in range(len(texts))] == [("general", 1), ("contact", 1), ("legal", 1), ("legal", 1), ("general", 4), ("tabular", 3), ("numeric", 3), ("general", 0), ("general", 0)]
+
+
 def test_many_cells(spark, monkeypatch):
     """The fit on the driver and the one by aggregations are the same, sweep for sweep."""
     monkeypatch.setattr(mixing, "MOST_SWEEPS", 3)
