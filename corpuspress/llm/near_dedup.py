@@ -5,8 +5,11 @@
 2. Equal sets are one node with a number of its own (two-level aggregation, so a
    set that a third of all rows share is spread over salts).  Ids never name a
    node: rows that share an id are judged by their own texts.
-3. Bands of four registers are bucket keys.  Each bucket links its members to its
-   smallest node: candidate pairs grow with the members, not with their square.
+3. Bands of four registers are bucket keys.  Each bucket links its members to one of
+   them: candidate pairs grow with the members, not with their square.  The centre is
+   the member that meets most others over all its buckets: of versions of one text
+   that is the one least changed, and a version that is within the threshold of any
+   other is most often within the threshold of it.
 4. Candidates of every size pass a size bound (exact) and the collision-corrected
    estimate (``hyperminhash.surely_below``: a chance of 1e-9, by the registers
    that the two sets filled), and are confirmed on full sets: a centre's text
@@ -19,7 +22,9 @@
    (prefix filter; exact).  So members of a hot bucket that share only what all
    of them share don't meet.  Shingles that many nodes have are split by parts.
    The order comes from hashed counts of a fixed number of counters, which has an
-   influence on the work, never on the result.
+   influence on the work, never on the result.  Of the pairs that meet, those stay
+   whose shingles up to the last that met, with all that follows it, can be enough,
+   and whose bitmaps of all shingles don't differ in too many bits (both exact).
 
 At the threshold 0.8 two texts share no bucket with probability 5e-8; everything
 else is exact up to 64-bit hashes of shingles and the chance in 4.  Joins whose
@@ -50,6 +55,8 @@ from . import hyperminhash as hmh
 SALTS = 64
 #: Hashed counters that order shingles by how common they are.
 COUNTERS = 1 << 20
+#: Bits that a set is compared by before its text is fetched.
+BITS = 1 << 12
 NODE = ["k1", "k2", "n"]
 #: Names a row: 128 bits made of its id and text.
 ROW = ["key", "key2"]
@@ -89,7 +96,7 @@ def nodes_of(rows: DataFrame) -> DataFrame:
 
 
 def bucket_rows(nodes: DataFrame) -> DataFrame:
-    """(bucket, node, salt, centre) of the buckets that two nodes or more share."""
+    """(bucket, node, salt, m) of the buckets that two nodes or more share, m of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,14 +109,24 @@ def bucket_rows(nodes: DataFrame) -> DataFrame:
 
     keyed = nodes.select("node", "regs").mapInArrow(run, "bucket bigint, node bigint")
     keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-    part = keyed.groupBy("bucket", "salt").agg(F.min("node").alias("centre"), F.count("*").alias("m"))
-    whole = part.groupBy("bucket").agg(F.min("centre").alias("centre"), F.sum("m").alias("m"), F.collect_list("salt").alias("salts")).where("m > 1")
+    part = keyed.groupBy("bucket", "salt").agg(F.count("*").alias("m"))
+    whole = part.groupBy("bucket").agg(F.sum("m").alias("m"), F.collect_list("salt").alias("salts")).where("m > 1")
     shared = common.written(whole, "buckets")
     likely = common.hash_filter(shared.select("bucket"), "bucket")
-    found = keyed.where(likely(F.col("bucket"))).join(shared.select("bucket", "centre", F.explode("salts").alias("salt")), ["bucket", "salt"])
+    found = keyed.where(likely(F.col("bucket"))).join(shared.select("bucket", "m", F.explode("salts").alias("salt")), ["bucket", "salt"])
     return common.written(found, "members")
 
 
+def star_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that share a bucket whose centre is b; which member that is has an influence on the work, never on the result."""
+    met = members.groupBy("node").agg(F.sum("m").alias("met"))
+    part = members.join(met, "node").groupBy("bucket", "salt").agg(F.max(F.struct("met", "node")).alias("top"))
+    whole = part.groupBy("bucket").agg(F.max("top").alias("top"), F.collect_list("salt").alias("salts"))
+    centres = common.written(whole.select("bucket", F.col("top.node").alias("centre"), F.explode("salts").alias("salt")), "centres")
+    pairs = members.join(centres, ["bucket", "salt"]).where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    return common.written(pairs.distinct(), "star")
+
+
 def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of nodes that may reach the threshold."""
 
@@ -238,26 +255,53 @@ def prefix_pairs(rows: DataFrame, percent: int, a_part: int = 1024) -> DataFrame
     small = found.where("narrow").select("shingle", F.pmod(F.xxhash64("node"), F.col("fan")).alias("part"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), F.col("place").alias("px"))
     large = found.select("shingle", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("fan") - 1)).alias("part"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), F.col("place").alias("py"))
     # What two sets share is at most what stands before the shingle in both, itself, and what follows it in both.
-    most = F.least("px", "py") + 1 + F.least(F.col("nx") - F.col("px") - 1, F.col("ny") - F.col("py") - 1)
+    rest = F.least(F.col("nx") - F.col("px") - 1, F.col("ny") - F.col("py") - 1)
+    most = F.least("px", "py") + 1 + rest
     pairs = small.join(large, ["shingle", "part"]).where((F.col("cx") != F.col("cy")) & (F.col("nx") <= F.col("ny")) & (100 * F.col("nx") >= percent * F.col("ny")))
     pairs = pairs.where((100 + percent) * most >= percent * (F.col("nx") + F.col("ny")))
+    # All shingles that both have up to the last that met have met: with what follows it in both, that is the most they share.
+    pairs = pairs.groupBy("x", "nx", "y", "ny").agg(F.count("*").alias("met"), F.max("px").alias("px"), F.max("py").alias("py"))
+    pairs = pairs.where((100 + percent) * (F.col("met") + rest) >= percent * (F.col("nx") + F.col("ny")))
     return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
+def overlapping(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes whose sets may share enough, by a bit for each shingle: a bit that only one side has is a shingle that the other lacks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, "text", 512 << 10):
+            first, h = hmh.shingle_sets(batch.column(1))
+            bits = np.zeros(batch.num_rows * BITS, bool)
+            bits[np.repeat(np.arange(batch.num_rows), np.diff(first)) * BITS + (h & np.uint64(BITS - 1)).astype(np.int64)] = True
+            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), batch.num_rows, [None, pa.py_buffer(np.packbits(bits).tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first), pa.int64()), raw.cast(pa.binary())], ["node", "n", "bits"])
+
+    @F.arrow_udf(T.BooleanType())
+    def enough(na: pa.Array, nb: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
+        na, nb = na.to_numpy(), nb.to_numpy()
+        a, b = (np.frombuffer(common.text_buffer(c)[0].tobytes(), np.uint64).reshape(-1, BITS // 64) for c in (a, b))
+        most = np.minimum(na - np.bitwise_count(a & ~b).sum(1, dtype=np.int64), nb - np.bitwise_count(b & ~a).sum(1, dtype=np.int64))
+        return pa.array((100 + percent) * most >= percent * (na + nb))
+
+    own = common.written(texts.select("node", "text").mapInArrow(run, "node bigint, n bigint, bits binary"), "bits")
+    both = pairs.join(own.toDF("a", "na", "ba"), "a").join(own.toDF("b", "nb", "bb"), "b")
+    return common.written(both.where(enough("na", "nb", "ba", "bb")).select("a", "b"), "enough")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row, and k1, k2 (its set), key, key2 (its id and text)."""
     rows = common.written(signed(docs, id_col, text_col), "signed")
     nodes = nodes_of(rows)
     members = bucket_rows(nodes)
-    star = common.written(members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "star")
+    star = star_pairs(members)
     pairs = common.written(plausible(star, nodes, percent), "pairs")
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = common.written(nodes.select("node", *ROW).join(ends, "node"), "wanted")
     links = confirmed(pairs, texts_of(wanted, docs, id_col, text_col), percent)
     label = components(links)
     texts = texts_of(unsettled(members, label, nodes), docs, id_col, text_col)
-    fresh = prefix_pairs(prefix_rows(texts, percent), percent).join(star.select("a", "b"), ["a", "b"], "anti")
-    more = confirmed(common.written(plausible(fresh, nodes, percent), "pairs"), texts, percent)
+    fresh = prefix_pairs(prefix_rows(texts, percent), percent).join(star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "anti")
+    more = confirmed(common.written(plausible(overlapping(fresh, texts, percent), nodes, percent), "pairs"), texts, percent)
     if more.limit(1).count():
         label = components(links.union(more))
     # A component is named by its smallest id, whichever of its nodes has it.

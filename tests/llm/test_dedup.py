@@ -168,6 +168,23 @@ def test_members_of_a_hot_bucket(spark):
     assert near_dedup.prefix_pairs(near_dedup.prefix_rows(texts, 80), 80, 2).count() < 40
 
 
+def test_versions_of_one_text(spark, monkeypatch):
+    """Versions on both sides of the threshold: what is fetched to be confirmed doesn't grow with the square of their number."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base, rows = [word() for _ in range(300)], []
+    for i in range(240):
+        version = list(base)
+        for at in rng.sample(range(300), rng.randrange(4, 40)):
+            version[at] = word() if rng.random() < 0.5 else base[rng.randrange(300)]
+        rows.append((i, " ".join(version)))
+    df, fetched, confirmed = spark.createDataFrame(rows, "doc_id bigint, text string"), [], near_dedup.confirmed
+    monkeypatch.setattr(near_dedup, "confirmed", lambda pairs, *how: fetched.append(pairs.count()) or confirmed(pairs, *how))
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(df).collect())
+    assert got == components(rows) and len({c for _, _, c, _ in got}) > 20
+    assert fetched[1] < len(rows)
+
+
 def test_rows_that_stay(spark):
     df = messy(spark)
     kept = near_dedup.without_near_duplicates(df)
