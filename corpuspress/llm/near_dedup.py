@@ -51,6 +51,7 @@ from pyspark.sql import types as T
 
 from . import common
 from . import hyperminhash as hmh
+from .substring_dedup import bit_lookup, maybe
 
 SALTS = 64
 #: Hashed counters that order shingles by how common they are.
@@ -98,22 +99,26 @@ def nodes_of(rows: DataFrame) -> DataFrame:
 def bucket_rows(nodes: DataFrame) -> DataFrame:
     """(bucket, node, salt, m) of the buckets that two nodes or more share, m of them."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 8192):
-                part = batch.slice(at, 8192)
-                data, _ = common.text_buffer(part.column(1))
-                keys = hmh.band_keys(hmh.unpacked(data)[0])
-                again = pa.array(np.repeat(np.arange(part.num_rows), hmh.BANDS))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column(0).take(again)], ["bucket", "node"])
-
-    keyed = nodes.select("node", "regs").mapInArrow(run, "bucket bigint, node bigint")
-    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-    part = keyed.groupBy("bucket", "salt").agg(F.count("*").alias("m"))
+    def keyed(likely=None) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 8192):
+                    part = batch.slice(at, 8192)
+                    data, _ = common.text_buffer(part.column(1))
+                    keys = hmh.band_keys(hmh.unpacked(data)[0]).ravel()
+                    again = np.repeat(np.arange(part.num_rows), hmh.BANDS)
+                    if likely is not None:
+                        keep = maybe(likely.value, keys)
+                        keys, again = keys[keep], again[keep]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), part.column(0).take(pa.array(again))], ["bucket", "node"])
+            common.give_back()
+
+        return nodes.select("node", "regs").mapInArrow(run, "bucket bigint, node bigint").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+
+    part = keyed().groupBy("bucket", "salt").agg(F.count("*").alias("m"))
     whole = part.groupBy("bucket").agg(F.sum("m").alias("m"), F.collect_list("salt").alias("salts")).where("m > 1")
     shared = common.written(whole, "buckets")
-    likely = common.hash_filter(shared.select("bucket"), "bucket")
-    found = keyed.where(likely(F.col("bucket"))).join(shared.select("bucket", "m", F.explode("salts").alias("salt")), ["bucket", "salt"])
+    found = keyed(bit_lookup(shared.select("bucket"), "bucket", 1 << 26)).join(shared.select("bucket", "m", F.explode("salts").alias("salt")), ["bucket", "salt"])
     return common.written(found, "members")
 
 

@@ -368,6 +368,31 @@ def test_cut_texts(spark):
     assert 18 not in kept and None in {r["text"] for r in rows}
 
 
+def test_one_python_worker_a_task(spark, monkeypatch):
+    """No task of op8, op9 and the pipeline's stages feeds one Python worker from another: each holds memory of its executor."""
+    plans, written = [], common.written
+    see = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    monkeypatch.setattr(common, "written", lambda df, name: written(see(df), name))
+    df, least = messy(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        for out in (substring_dedup.remove_repeats(df, most_contexts=1), substring_dedup.cut_repeats(df), near_dedup.without_near_duplicates(df)):
+            see(out)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    for plan in plans:
+        above: list[tuple[int, bool]] = []
+        for line in plan.splitlines():
+            depth = len(line) - len(line.lstrip(" :+-"))
+            above = [(d, python) for d, python in above if d < depth]
+            if "Exchange" in line:
+                above = []
+            python = "MapInArrow" in line or "ArrowEvalPython" in line
+            assert not (python and any(p for _, p in above)), plan
+            above.append((depth, python))
+    assert any("ArrowEvalPython" in p for p in plans) and any("MapInArrow" in p for p in plans)
+
+
 def test_repeats_sql(spark):
     compare_with_sql(spark, substring_dedup.op8_suffix_array_dedup, substring_dedup.OP8_SQL)
 
