@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import grammar, lz
-from .index import of
+from .index import of, portions
 from .suffixes import lcp_intervals
 from .transforms import escape
 
@@ -64,7 +65,21 @@ def lz78u_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def slp_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """sym, l, r of each rule of the edit-sensitive parse; the last symbol derives the text."""
-    return rows_of_texts(df, id_col, text_col, ("sym", "l", "r"), lambda b: ((256 + i, *r) for i, r in enumerate(grammar.esp_grammar(b)[1])))
+    source = df.select(F.col(id_col), F.col(text_col).cast("binary").alias("__b")).where("__b IS NOT NULL")
+    key = source.schema[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for part in portions(texts):
+                found = [rules for _, rules in grammar.esp_grammars(texts[part])]
+                size = np.array([len(r) for r in found])
+                rules = np.concatenate(found)
+                number = np.arange(len(rules)) - np.repeat(np.cumsum(size) - size, size)
+                columns = [batch.column(0).slice(part.start).take(pa.array(np.repeat(np.arange(len(size)), size))), pa.array(256 + number), *(pa.array(np.ascontiguousarray(c)) for c in rules.T)]
+                yield pa.RecordBatch.from_arrays(columns, [key.name, "sym", "l", "r"])
+
+    return source.mapInArrow(run, f"`{key.name}` {key.dataType.simpleString()}, sym bigint, l bigint, r bigint")
 
 
 def repair_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rules: int = 0) -> DataFrame:
