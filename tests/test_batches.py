@@ -1,8 +1,10 @@
 """What runs over many texts at once, against its definition one text at a time."""
 
 import random
+import time
 
-from corpuspress.operators import grammar
+from corpuspress.operators import grammar, lz
+from corpuspress.operators.suffixes import lcp_intervals
 from corpuspress.plans import registry
 from support import SF
 from test_codecs import FIXED, WORDS, drawn
@@ -98,3 +100,39 @@ def test_rules_of_parses(spark):
         found.setdefault(r["doc_id"], []).append((r["sym"], r["l"], r["r"]))
     assert {i: sorted(v) for i, v in found.items()} == {i: [(256 + k, *r) for k, r in enumerate(parsed(t)[1])] for i, t in enumerate(TEXTS) if parsed(t)[1]}
     assert queries.QUERIES["slp_rules"](spark, SF).count() > 0
+
+
+def substitutions(data, least):
+    """Common-prefix intervals, each tried at its depth and one byte shorter each time it fails."""
+    x = lz.of(data)
+    lcp, sa = [*x.lcp.tolist(), 0], x.sa.tolist()
+    heap = [(-d, min(sa[a : b + 1]) if b - a < 64 else sa[a], a, b) for a, b, d in zip(*(v.tolist() for v in lcp_intervals(x.lcp, least)))]
+    taken, rules, found = [0] * len(data), [], []
+    while heap:
+        d, first, a, b = heap.pop(heap.index(min(heap)))
+        free, last = [], -1
+        for p in sorted(sa[a : b + 1]):
+            if p >= last and not any(taken[p : p - d]):
+                free.append(p)
+                last = p - d
+        if len(free) > 1:
+            for p in free:
+                taken[p : p - d] = [1] * -d
+                found.append((p, len(rules)))
+            rules.append((free[0], -d))
+        elif -d - 1 > max(least - 1, lcp[a], lcp[b + 1]):
+            heap.append((d + 1, first, a, b))
+    return rules, sorted(found)
+
+
+def test_longest_first_by_its_definition():
+    for data in [b"abcdebcdeabc\0", b"a" * 200 + b"\0", b"abaaabbababb\0", b"abc" * 90 + b"\0", *(t + b"\0" for t in drawn(60, 11) if b"\0" not in t)]:
+        assert grammar.longest_first(data) == substitutions(data, 2), data
+
+
+def test_longest_first_of_periodic_texts():
+    began = time.process_time()
+    for data in (b"Titionly.\nErheed. " * 6000, b"a" * 100_000):
+        start, rules = grammar.lfs_grammar(data)
+        assert grammar.expand(start, [tuple(r) for r in rules]).startswith(data)
+    assert time.process_time() - began < 60
