@@ -3,6 +3,7 @@
 import random
 import time
 
+from corpuspress.functions import coders
 from corpuspress.operators import grammar, lz
 from corpuspress.operators.suffixes import lcp_intervals
 from corpuspress.plans import registry
@@ -136,3 +137,29 @@ def test_longest_first_of_periodic_texts():
         start, rules = grammar.lfs_grammar(data)
         assert grammar.expand(start, [tuple(r) for r in rules]).startswith(data)
     assert time.process_time() - began < 60
+
+
+def test_words_of_universal_and_low_entropy_codes():
+    for name in ("gamma", "delta", "ternary"):
+        pattern, words, longest = coders.byte_words(name)
+        assert sorted(words.values()) == list(range(256)) and max(map(len, words)) == longest
+        assert all(pattern.findall(a + b) == [a, b] for a in words for b in list(words)[::37])
+    for width in range(1, 12):
+        words = coders.rank_words(width, 1 << width)
+        assert len(set(words)) == 1 << width and coders.rank_pattern(width).findall("".join(words)) == words
+
+
+def test_literals_in_parts():
+    data = b"the heat of the earth, the heart of the hearth; " * 40
+    for name in ("gamma", "delta", "ternary", "sle", "arithmetic", "huff", "bit"):
+        coder = coders.CODERS[name]()
+        e = coder.encoder(data)
+        for at in range(0, len(data), 300):
+            e.lits(data[at : at + 300])
+        e.bit(1)
+        d, out = coder.decoder(e.done()), b""
+        for size in (1, 2, 15, 16, 17, 130, 700):
+            out += d.lits(size)
+            out += bytes([d.lit()])
+        out += d.lits(len(data) - len(out))
+        assert out == data and d.bit() == 1 and d.eof(), name
