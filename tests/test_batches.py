@@ -4,7 +4,7 @@ import random
 import time
 
 from corpuspress.functions import coders
-from corpuspress.operators import grammar, lz
+from corpuspress.operators import grammar, index, lz, transforms
 from corpuspress.operators.suffixes import lcp_intervals
 from corpuspress.plans import registry
 from support import SF
@@ -163,3 +163,12 @@ def test_literals_in_parts():
             out += bytes([d.lit()])
         out += d.lits(len(data) - len(out))
         assert out == data and d.bit() == 1 and d.eof(), name
+
+
+def test_packed_suffix_sorts():
+    for data in (t for t in TEXTS if t):
+        x, suffixes = index.of(data), sorted(range(len(data)), key=lambda i: data[i:])
+        assert x.span == 6 and x.sa.tolist() == suffixes == transforms.suffix_array(data).tolist()
+        for i, (a, b) in enumerate(zip(suffixes, suffixes[1:]), 1):
+            n = int(x.lcp[i])
+            assert data[a : a + n] == data[b : b + n] and (max(a, b) + n == len(data) or data[a + n] != data[b + n])
