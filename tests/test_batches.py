@@ -168,7 +168,7 @@ def test_literals_in_parts():
 def test_packed_suffix_sorts():
     for data in (t for t in TEXTS if t):
         x, suffixes = index.of(data), sorted(range(len(data)), key=lambda i: data[i:])
-        assert x.span == 6 and x.sa.tolist() == suffixes == transforms.suffix_array(data).tolist()
+        assert x.sa.tolist() == suffixes == transforms.suffix_array(data).tolist() and x.span == 6
         for i, (a, b) in enumerate(zip(suffixes, suffixes[1:]), 1):
             n = int(x.lcp[i])
             assert data[a : a + n] == data[b : b + n] and (max(a, b) + n == len(data) or data[a + n] != data[b + n])
