@@ -402,3 +402,22 @@ def test_queries_cover_every_document(spark):
 
     for name in ("op5_bottom_k_fingerprints", "op8_suffix_array_dedup", "op9_minhash_near_dedup"):
         assert QUERIES[name](spark, SF).select(F.countDistinct("doc_id")).first()[0] == common.read(spark, SF, "documents").count()
+
+
+@pytest.mark.parametrize("most", [10_000, 2])
+def test_sizes_of_repeats(spark, most):
+    """They are those of the occurrences, also where contexts have many copies and ids are shared or missing."""
+    rng = random.Random(6)
+    base = ["".join(rng.choice("abcd") for _ in range(500)) for _ in range(2)]
+    rows = []
+    for i in range(20):
+        s = rng.randrange(0, 200)
+        t = "".join(rng.choice("xyz") for _ in range(rng.randrange(0, 30))) + rng.choice(base)[s : s + rng.randrange(150, 420)] + rng.choice("xyz")
+        rows += [(None if i == 3 else i % 15, t + "q" * (k % 2)) for k in range(1 + 12 * (i % 3 == 0))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    by = defaultdict(list)
+    for r in substring_dedup.maximal_repeats(df, most_contexts=most).collect():
+        by[r["repeat"]].append((r["doc_id"] is not None, r["doc_id"] or 0, r["lo"], r["hi"] - r["lo"]))
+    want = Counter((max(p[3] for p in v), len(v), *(min(v)[1:3] if min(v)[0] else (None, min(v)[2]))) for v in by.values())
+    got = Counter((r["n_bytes"], r["n_occurrences"], *r["first"]) for r in substring_dedup.repeat_sizes(df, most_contexts=most).collect())
+    assert got == want and len(want) > 1
