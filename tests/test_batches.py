@@ -172,3 +172,25 @@ def test_packed_suffix_sorts():
         for i, (a, b) in enumerate(zip(suffixes, suffixes[1:]), 1):
             n = int(x.lcp[i])
             assert data[a : a + n] == data[b : b + n] and (max(a, b) + n == len(data) or data[a + n] != data[b + n])
+
+
+def repaired(data):
+    """The most frequent pair (counted from the left without overlaps, ties by pair), counted anew each time."""
+    s, rules = list(data), []
+    while True:
+        places, last = {}, {}
+        for i, pair in enumerate(zip(s, s[1:])):
+            if last.get(pair, -2) < i - 1 or pair[0] != pair[1]:
+                places.setdefault(pair, []).append(i)
+                last[pair] = i
+        pair = min(places, key=lambda p: (-len(places[p]), p), default=None)
+        if pair is None or len(places[pair]) < 2:
+            return s, rules
+        for i in places[pair][::-1]:
+            s[i : i + 2] = [256 + len(rules)]
+        rules.append(pair)
+
+
+def test_repair_by_its_definition():
+    for data in (t for t in TEXTS if len(t) < 700):
+        assert grammar.repair_grammar(data) == repaired(data), data
